@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_jpeg
+from . import bpe_stream, media_jpeg
 from ._common import table
 
 
@@ -13,6 +13,11 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.media_digest(media_jpeg.read_media(media_jpeg.store_media(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg}
+def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the streaming transducer and decoded again, as digests."""
+    return bpe_stream.token_digest(bpe_stream.tokenize(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer}
 
 ORACLE: dict[str, str] = {}
