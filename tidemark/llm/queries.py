@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, media_jpeg
+from . import bpe_stream, gam_quality, media_jpeg
 from ._common import table
 
 
@@ -18,6 +18,11 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.token_digest(bpe_stream.tokenize(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer}
+def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for quality by the additive model."""
+    return gam_quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op8_additive_quality": op8_additive_quality}
 
 ORACLE: dict[str, str] = {}
