@@ -16,11 +16,14 @@ need nothing special.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, bounded_batches, chunks_by_bytes, text_of
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHED_LENGTH, _CACHE_ENTRIES = 48, 400_000
+#: Words of up to so many bytes are kept, in two generations of so many entries each.
+_CACHED_LENGTH, _CACHE_ENTRIES = 48, 500_000
 _NEVER = 1 << 60
 
 
@@ -70,6 +74,11 @@ class MergeList:
         self._spines: tuple[dict, dict] = ({}, {})
         # Tokens of which the merges never make the whole can't occur.
         self.usable = {b: i for b, i in self.ids.items() if len(b) == 1 or i in self.parts}
+        #: All tokens that end at each position of a word.
+        self.suffixes = ahocorasick.Automaton()
+        for b, i in self.usable.items():
+            self.suffixes.add_word(b.decode("latin-1"), (i, len(b)))
+        self.suffixes.make_automaton()
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def lookahead(self) -> int:
@@ -184,7 +193,8 @@ class Codec:
     def __init__(self, text: str):
         self.m = MergeList(text)
         self.window = 2 * self.m.lookahead()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self.texts = {}
         for i, b in self.m.bytes_of.items():
             try:
@@ -192,15 +202,45 @@ class Codec:
             except UnicodeDecodeError:
                 self.texts[i] = None
 
-    def _word(self, piece: str) -> list[int]:
-        encoder = Encoder(self.m, self.window)
-        ids = [*encoder.feed(piece.encode()), *encoder.finish()]
-        if len(piece) <= _CACHED_LENGTH:
-            if len(self.words) >= _CACHE_ENTRIES:
-                self.words.clear()
-            self.words[piece] = ids
+    def _word(self, piece: str) -> tuple[int, ...]:
+        """The ids of a word that the young generation lacks."""
+        ids = self._older.get(piece)
+        if ids is None:
+            data = piece.encode()
+            if len(data) > _CACHED_LENGTH:
+                encoder = Encoder(self.m, self.window)
+                return (*encoder.feed(data), *encoder.finish())
+            ids = self._short(data)
+        if len(self.words) >= _CACHE_ENTRIES:
+            self._older = dict(self.words)
+            self.words.clear()
+        self.words[piece] = ids
         return ids
 
+    def _short(self, data: bytes) -> tuple[int, ...]:
+        """The transducer over a word that fits the window, so nothing is emitted before its end."""
+        if (whole := self.m.usable.get(data)) is not None:
+            return (whole,)
+        known, fits, last, start, done = self.m._fits.get, self.m.fits, [], [], -1
+        for end, (token, size) in self.m.suffixes.iter(data.decode("latin-1")):
+            if end == done:
+                continue
+            at = end + 1 - size
+            if at:
+                ok = known(last[at - 1] << 32 | token)
+                if not (fits(last[at - 1], token) if ok is None else ok):
+                    continue
+            last.append(token)
+            start.append(at)
+            done = end
+        if len(last) != len(data):
+            raise ValueError("byte outside the vocabulary")
+        out, end = [], len(data)
+        while end:
+            out.append(last[end - 1])
+            end = start[end - 1]
+        return tuple(out[::-1])
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text; the strings of special tokens become those tokens."""
         ids: list[int] = []
@@ -210,8 +250,11 @@ class Codec:
             if k % 2:
                 ids.append(self.m.special[part])
                 continue
-            for piece in _PIECES.findall(part):
-                ids += known(piece) or word(piece)
+            pieces = _PIECES.findall(part)
+            found = list(map(known, pieces))
+            if None in found:
+                found = [word(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
+            ids += chain.from_iterable(found)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -282,7 +325,11 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, column: str = "text"
                 ids = own.encode(text)
                 yield i, len(ids), np.array(ids, "<u4").tobytes(), own.decode(ids)
 
-        return chunks_by_bytes(rows(), lambda r: len(r[2]) + 4 * len(r[3]), build)
+        gc.disable()  # the cache is millions of small tuples without cycles, which the collector would walk over and over
+        try:
+            yield from chunks_by_bytes(rows(), lambda r: len(r[2]) + 4 * len(r[3]), build)
+        finally:
+            gc.enable()
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), text_of(column)), run, "doc_id long, n_tokens long, ids binary, decoded string")
 
