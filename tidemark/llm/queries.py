@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, gam_quality, media_jpeg
+from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity
 from ._common import table
 
 
@@ -23,6 +23,11 @@ def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op8_additive_quality": op8_additive_quality}
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity after deobfuscation."""
+    return noisy_toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
 
 ORACLE: dict[str, str] = {}
