@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity
+from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity, sentence_spans
 from ._common import table
 
 
@@ -23,11 +23,16 @@ def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses sentences to repeated passages, with the removed spans and the text that is left."""
+    return sentence_spans.changed_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored for toxicity after deobfuscation."""
     return noisy_toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op5_sentence_spans": op5_sentence_spans, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
 
 ORACLE: dict[str, str] = {}
