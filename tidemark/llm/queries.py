@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity, sentence_spans
+from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity, qgram_decontam, sentence_spans
 from ._common import table
 
 
@@ -28,11 +28,16 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.changed_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a benchmark item in a document, within the edit budget."""
+    return qgram_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored for toxicity after deobfuscation."""
     return noisy_toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op5_sentence_spans": op5_sentence_spans, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op5_sentence_spans": op5_sentence_spans, "op6_qgram_decontamination": op6_qgram_decontamination, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
 
 ORACLE: dict[str, str] = {}
