@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, gam_quality, media_jpeg, noisy_toxicity, qgram_decontam, sentence_spans
+from . import bpe_stream, chosen_path, gam_quality, media_jpeg, noisy_toxicity, qgram_decontam, sentence_spans
 from ._common import table
 
 
@@ -38,6 +38,11 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op5_sentence_spans": op5_sentence_spans, "op6_qgram_decontamination": op6_qgram_decontamination, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality}
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and its near-duplicate class."""
+    return chosen_path.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_progressive_jpeg": op1_progressive_jpeg, "op2_bpe_transducer": op2_bpe_transducer, "op5_sentence_spans": op5_sentence_spans, "op6_qgram_decontamination": op6_qgram_decontamination, "op7_noisy_channel_toxicity": op7_noisy_channel_toxicity, "op8_additive_quality": op8_additive_quality, "op9_chosen_path": op9_chosen_path}
 
 ORACLE: dict[str, str] = {}
