@@ -56,6 +56,20 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot_keys: int = 5000, salts: int = 64) -> DataFrame:
+    """Join many rows to one row a key, where `count` tells how many of the rows have that key.
+
+    A key with more than 1 / hot_keys of all counted rows is hot; there are at most hot_keys of them, so their set is
+    broadcast and their rows are spread over `salts` copies of the key's row. `keyed` should be a written table.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.where(F.col(count) > max(1, total // hot_keys)).select(key, F.lit(True).alias("_hot"))
+    spread = keyed.withColumn("_salt", F.explode(F.when(F.col(count) > max(1, total // hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    others = [c for c in rows.columns if c != key]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot").join(spread, [key, "_salt"]).drop("_salt")
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path; None for any other scheme."""
     parts = urlparse(uri)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, text_of
+from ._common import arrow_map, bounded_batches, salted_join, text_of, through_table
 
 #: A run is hashed once it has this many sentences and words.
 RUNS = ((3, 12), (2, 30), (1, 50))
@@ -103,18 +103,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row for each document with sentences to remove: doc_id (null as the lowest long), spans (start and end
     characters of runs whose first occurrence is elsewhere) and first_doc_ids, the documents that hold those.
 
-    The counts are combined before they are shuffled; runs of a hot hash are not gathered, as the join with the one
-    row of a repeated hash can be split.
+    Counts are combined before they are shuffled, and the runs of a hot hash are spread over copies of its one row.
     """
     runs = all_runs(docs)
     firsts = (
         runs.groupBy("hash")
         .agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("hash", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("first_at"))
+        .select("hash", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("first_at"), "n")
     )
     return (
-        runs.join(firsts, "hash")
+        salted_join(runs, through_table(firsts, "repeated-runs"), "hash", "n")
         .where("doc_id != first_doc_id or first != first_at")
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("spans"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
