@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tidemark.llm import chosen_path as C
 
@@ -54,14 +55,16 @@ def test_classes_against_brute_force(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in rows) and len(rows) == len(docs)
 
 
-def test_large_near_copy_group_and_stray_members(spark, monkeypatch):
-    monkeypatch.setattr(C, "LEAF", 4)
+@pytest.mark.parametrize(("leaf", "weight"), [(16, 400_000), (4, 400_000), (4, 3_000), (2, 600)])
+def test_large_near_copy_group_and_stray_members(spark, monkeypatch, leaf, weight):
+    monkeypatch.setattr(C, "LEAF", leaf)
+    monkeypatch.setattr(C, "NODE_SHINGLES", weight)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(150)]
     docs = []
     for i in range(150):
         own = list(base)
-        for _ in range(rng.randrange(0, 9)):
+        for _ in range(rng.randrange(0, 12)):
             own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         docs.append((i, " ".join(own)))
     want = brute(docs)

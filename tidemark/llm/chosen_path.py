@@ -3,11 +3,12 @@
 A document is the set of its distinct four-word shingles. In each of TREES independent trees a document walks down by
 selected tokens: at every level the token of least hash under the path so far, so two documents of similarity s take
 the same step with probability s. Documents that meet at BASE levels form a node. Every member is compared with its
-node's least document; links found give classes, and only pairs of different classes are left to compare: all of them
-in small nodes, while large nodes branch on, each document into two children a level, so that a similar pair still
-meets in some leaf. Leaves that stay large compare the members outside of their least class with all others. Every
-link is confirmed on full sets. With 20 trees a pair at similarity 0.8 is missed with probability below 1e-6, and a
-class only if it hangs on missed pairs.
+node's least document; links found give classes, and only pairs of different classes are left to compare. Nodes of at
+most LEAF members list those pairs. Nodes whose sets fit a task are compared there exhaustively, by counting shared
+shingles over the members outside of the largest class; only links that join two classes leave the task. Larger nodes
+branch on, each document into two children a level, so that a similar pair still meets in some leaf; a leaf that is
+still too large is compared block by block. Every link is confirmed on full sets. With 20 trees a pair at similarity
+0.8 is missed with probability below 1e-6, and a class only if it hangs on missed pairs.
 
 Equal sets are one vertex, so copies cost nothing after the first pass. Hot keys are spread over salted copies, links
 and classes stay in tables of the shared folder, and classes are found by contraction of the link graph.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, bounded_batches, salted_join, text_of, through_table
 
 SHINGLE_WORDS, TREES, BASE, BRANCHES, LEAF = 4, 20, 3, 2, 16
+#: Shingles of the sets that are compared in one task at a time.
+NODE_SHINGLES = 400_000
 LINK_NUMERATOR, LINK_DENOMINATOR = 80, 100
 _NO_ID = (1 << 63) - 1
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -166,25 +169,94 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def _crossing(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (key, id) of nodes that hold several classes, a table with class, the node's size n and its least class."""
-    own = nodes.join(label.withColumnRenamed("id", "_v"), F.col("id") == F.col("_v"), "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    """Members (key, id, size) of nodes that hold several classes, a table with class and the node's n and weight."""
+    own = nodes.join(label.withColumnRenamed("id", "_v"), F.col("id") == F.col("_v"), "left").select("key", "id", "size", F.coalesce("class", "id").alias("class"))
     own = through_table(own, "members")
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("_most")).where("least != _most").drop("_most")
-    return through_table(salted_join(own, through_table(sizes, "node-sizes"), "key", "n"), "crossing")
+    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("class").alias("_least"), F.max("class").alias("_most"))
+    sizes = through_table(sizes.where("_least != _most").drop("_least", "_most"), "node-sizes")
+    return through_table(salted_join(own, sizes, "key", "n"), "crossing")
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different classes in nodes of at most LEAF members."""
     small = members.where(F.col("n") <= LEAF)
     other = small.select("key", F.col("id").alias("b"), F.col("class").alias("class_b"))
-    return small.select("key", F.col("id").alias("a"), "class").join(other, "key").where("a < b and class != class_b").select("a", "b")
+    return small.select("key", F.col("id").alias("a"), "class").join(other, "key").where("a < b and class != class_b").select("a", "b").distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of heavy leaves dealt to groups (key) that hold two blocks of a leaf each; all pairs of blocks occur."""
+    count = F.ceil(2 * F.col("weight") / NODE_SHINGLES).cast("int")
+    own = members.withColumn("_all", count).withColumn("_own", F.pmod(F.xxhash64("id"), "_all").cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_all") - 1)))
+    return dealt.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "id", "class")
+
+
+def joining_links(ids: list[int], own_class: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different classes, enough of them to join all classes that have any."""
+    members = len(ids)
+    size = np.array([len(s) for s in sets], np.int64)
+    _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(members), size)
+    order = np.argsort(shingle, kind="stable")
+    posting, begin = owner[order], np.concatenate([[0], np.cumsum(df)])
+    names, local = np.unique(np.array(own_class), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    largest, at, out = int(np.bincount(local).argmax()), np.concatenate([[0], np.cumsum(size)]), []
+    for i in np.flatnonzero(local != largest).tolist():
+        own = shingle[at[i] : at[i + 1]]
+        own = own[df[own] > 1]
+        n = df[own]
+        if not len(n):
+            continue
+        entry = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(posting[entry], minlength=members)
+        for j in np.flatnonzero((LINK_DENOMINATOR * both >= LINK_NUMERATOR * (size + size[i] - both)) & (local != local[i])).tolist():
+            x, y = root(int(local[i])), root(int(local[j]))
+            if x != y:
+                parent[x] = y
+                out.append((ids[i], ids[j]))
+    return out
+
 
+def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes within each group of members (key, id, class), each of bounded weight."""
+    bounded_batches(members.sparkSession)
+    rows = members.select("key", "id", "class").join(texts, "id").select("key", "id", "class", "text")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
 
-def _large_pairs(members: DataFrame) -> DataFrame:
-    """In larger nodes every member outside of the least class with every member of another class."""
-    large = members.where(F.col("n") > LEAF)
-    minor = large.where(F.col("class") != F.col("least")).select("key", F.col("id").alias("x"), F.col("class").alias("class_x"))
-    return minor.join(large.select("key", F.col("id").alias("y"), F.col("class").alias("class_y")), "key").where("class_x != class_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        place: dict[str, int] = {}
+        for r in held:
+            place.setdefault(r[3], len(place))
+        sets = shingle_sets(list(place))
+        out, first = [], 0
+        for k in range(1, len(held) + 1):
+            if k == len(held) or held[k][0] != held[first][0]:
+                group = held[first:k]
+                out += joining_links([r[1] for r in group], [r[2] for r in group], [sets[place[r[3]]] for r in group])
+                first = k
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if len(held) >= 500 and row[0] != held[-1][0]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -195,8 +267,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     # one vertex for each set, its least document; nodes of one vertex are left out
     firsts = rows.join(sets.select("code", F.col("rep").alias("doc_id")), ["code", "doc_id"])
-    nodes = firsts.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct()
-    nodes = through_table(nodes, "nodes")
+    nodes = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    nodes = through_table(nodes.distinct(), "nodes")
     sizes = through_table(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1"), "node-sizes")
     nodes = through_table(salted_join(nodes, sizes, "key", "n"), "shared-nodes")
     texts = own.withColumnRenamed("doc_id", "id").join(nodes.select("id").distinct(), "id")
@@ -211,11 +283,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = through_table(_confirmed(star, texts).unionAll(same), "confirmed")
     label = classes(links)
 
-    members = _crossing(nodes.select("key", "id"), label)
-    branching = members.where(F.col("n") > LEAF).select("id", "key")
-    below = _crossing(_leaves(branching, texts), label)
-    rest = through_table(_small_pairs(members).unionAll(_small_pairs(below)).unionAll(_large_pairs(below)).distinct(), "rest-pairs")
-    links = through_table(links.unionAll(_confirmed(rest, texts)), "confirmed")
+    members = _crossing(nodes.select("key", "id", "size"), label)
+    heavy = (F.col("n") > LEAF) & (F.col("weight") > NODE_SHINGLES)
+    groups = members.where((F.col("n") > LEAF) & ~heavy).select("key", "id", "class")
+    pairs = _small_pairs(members)
+    branching = members.where(heavy)
+    if not branching.isEmpty():
+        below = _crossing(_leaves(branching, texts), label)
+        pairs = pairs.unionAll(_small_pairs(below))
+        groups = groups.unionAll(below.where((F.col("n") > LEAF) & ~heavy).select("key", "id", "class")).unionAll(_blocks(below.where(heavy)))
+    found = _confirmed(through_table(pairs.distinct(), "small-pairs"), texts).unionAll(_compared(groups, texts))
+    links = through_table(links.unionAll(found), "confirmed")
     label = classes(links)
 
     named = through_table(sets.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("code", F.coalesce("class", "rep").alias("component_id"), "n"), "named-sets")
@@ -225,19 +303,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def _leaves(branching: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and id of the leaves below the given (id, key) nodes."""
+    """key, id and size of the leaves below the given (key, id, size) nodes."""
     bounded_batches(branching.sparkSession)
-    own = branching.groupBy("id").agg(F.collect_set("key").alias("keys")).join(texts, "id").select("id", "keys", "text")
+    own = branching.groupBy("id").agg(F.first("size").alias("size"), F.collect_set("key").alias("keys")).join(texts, "id").select("id", "size", "keys", "text")
 
     def run(batch):
-        ids, keys = [], []
-        for i, base, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist()), strict=True):
+        ids, sizes, keys = [], [], []
+        for i, size, base, codes in zip(*(batch.column(k).to_pylist() for k in range(3)), shingle_sets(batch.column(3).to_pylist()), strict=True):
             got = np.unique(leaf_keys(codes, np.array(base, np.int64).view(np.uint64))).view(np.int64)
             keys.append(got)
             ids.append(np.full(len(got), i))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+            sizes.append(np.full(len(got), size))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["key", "id", "size"])
 
-    return arrow_map(own, run, "key long, id long")
+    return arrow_map(own, run, "key long, id long, size long")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
