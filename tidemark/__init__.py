@@ -1,0 +1 @@
+"""Career-page analytics on PySpark."""
