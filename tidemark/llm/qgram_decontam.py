@@ -51,9 +51,10 @@ def edit_budget(m: int) -> int:
     return max(0, min(int(m * SHARE), (m - Q) // Q))
 
 
-def banded_end(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+def banded_end(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int]:
     """Least edits of the item against a stretch of text that starts anywhere and stays on diagonals low to high
-    (text position minus item position); and where that stretch ends, the first such place."""
+    (text position minus item position); and where that stretch ends, the first such place. Edits over `most` are only
+    known to be so: the least of a row never falls from one row to the next."""
     width, size = high - low + 1, len(item)
     offset = np.arange(width, dtype=np.int32)
     big = np.int32(size + len(text) + 1)
@@ -74,6 +75,8 @@ def banded_end(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple
         row = np.minimum.accumulate(step - offset) + offset
         if edge:
             row[outside] = big
+        if i & 7 == 7 and row.min() > most:
+            return int(row.min()), low + size
     at = int(row.argmin())
     return int(row[at]), at + low + size
 
@@ -146,7 +149,7 @@ class ItemBlock:
             if exact >= 0:
                 found.setdefault(index, []).append((0, exact, exact + len(item)))
                 continue
-            edits, end = banded_end(item_codes, codes, low, high)
+            edits, end = banded_end(item_codes, codes, low, high, k)
             if edits <= k:
                 found.setdefault(index, []).append((edits, self._start(item_codes, codes, end, edits, k), end))
         for index, places in found.items():
