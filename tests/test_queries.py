@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans import more_queries  # noqa: F401
 from tidemark.plans import queries as Q
 
 FOLDER = "/root/testdata/sf0.01"
