@@ -150,6 +150,25 @@ def test_page_source(spark):
     assert len(rows) == 2 and all(r.html is None and r.error for r in rows)
 
 
+def test_commands(space, spark, capsys):
+    from tidemark import api
+
+    folder = ["--folder", space.folder]
+    assert api.main([*folder, "add", "New Org", "https://new.example", "--category", "C"]) == 0
+    api.main([*folder, "status"])
+    api.main([*folder, "approve", "1"])
+    api.main([*folder, "patterns"])
+    api.main([*folder, "stats"])
+    api.main([*folder, "feed"])
+    out = capsys.readouterr().out
+    assert "'pending': 1" in out and "org-hosted" in out and "total_jobs" in out and os.path.exists(space.path("feed.xml"))
+    assert space.try_site("https://q.example/", "<a href='/z/1'>Second job</a>", '{"url_pattern": "/z/"}')[0]["title"] == "Second job"
+    space.add_site("Q", "https://q.example/", parser='{"url_pattern": "/z/"}')
+    assert space.table("site_parsers").count() == 1 and space.sites().where("site_name = 'Q'").count() == 1
+    probes = spark.createDataFrame([("A", "u", "u", 200, ""), ("B", "u", "v", 200, None)], "site_name string, url string, final_url string, code int, html string")
+    assert space.validate_urls(probes, space.path("r.txt"))["redirects"] == 1
+
+
 def test_streaming_merge(spark, tmp_path):
     from tidemark.streaming import ingest
 

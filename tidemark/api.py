@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import logging
 import os
 import shutil
 import sys
@@ -132,6 +133,18 @@ class Workspace:
         new = self.spark.createDataFrame([(site, text, now, now)], "site_name string, parser_config string, created_date timestamp, last_updated timestamp")
         self.save(site_parsers=registry.upsert_config(self.table("site_parsers"), new))
 
+    # -------- site set-up
+
+    def try_site(self, url: str, html: str | None, parser: str | None = None, rows: int = 10) -> list[dict]:
+        """The first postings that a page would give, with a configuration of its own if there is one."""
+        return extract.postings(html, url, "select", parser)[:rows]
+
+    def add_site(self, name: str, url: str, keywords: str = "", details: str = "no", parser: str | None = None, now: dt.datetime | None = None) -> None:
+        """Register a site, and store its parser configuration."""
+        sinks.append_sites(self.spark.createDataFrame([(name, url)], "name string, url string"), self.path("sites.csv"), keywords, details)
+        if parser is not None:
+            self.save_parser(name, parser, now or dt.datetime.now(dt.UTC).replace(tzinfo=None))
+
     # -------- candidates
 
     def triage(self, entries: DataFrame, new_only: bool = False) -> DataFrame:
@@ -229,6 +242,13 @@ def fetched(spark: SparkSession, urls: list[str], settings: dict) -> DataFrame:
     return spark.read.format("pages").options(urls="\n".join(urls), timeout=own["timeout"], retry_attempts=own["retry_attempts"], max_workers=own["max_workers"]).load()
 
 
+def _probed(spark: SparkSession, w: Workspace) -> DataFrame:
+    """The active sites with what their URLs answer."""
+    sites = w.sites()
+    found = fetched(spark, [r["url"] for r in sites.select("url").collect()], w.settings)
+    return sites.select("site_name", "url").join(found, "url").select("site_name", "url", "final_url", F.coalesce("status", F.lit(599)).alias("code"), "html")
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark")
     parser.add_argument("--folder", default=".")
@@ -255,12 +275,26 @@ def main(arguments: list[str] | None = None) -> int:
     own.add_argument("--batch", type=int, default=10)
     own.add_argument("--output")
     commands.add_parser("process").add_argument("path")
+    own = commands.add_parser("test")
+    own.add_argument("url")
+    own = commands.add_parser("validate-urls")
+    own.add_argument("--output", default="validation_report.txt")
+    for name in ("try-site", "add-site"):
+        own = commands.add_parser(name)
+        own.add_argument("url")
+        own.add_argument("--name", default="")
+        own.add_argument("--keywords", default="")
+        own.add_argument("--details", default="no")
+        own.add_argument("--parser", help="parser configuration, as JSON")
     for name in ("approve", "reject"):
         commands.add_parser(name).add_argument("ids", nargs="+")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     w = Workspace(spark, a.folder, config.load(a.config) if a.config else None)
+    logging.basicConfig(level=w.settings["logging"]["level"], format="%(asctime)s %(levelname)s %(message)s", handlers=[logging.StreamHandler(), logging.FileHandler(w.path("tidemark.log"), encoding="utf-8")])
+    logging.getLogger("tidemark").info("%s in %s", a.command, a.folder)
     now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    page = lambda: fetched(spark, [a.url], w.settings).first()["html"]
     today, listed = now.date(), lambda path: registry.lines(spark, path)
     run = {
         "update": lambda: w.update(fetched(spark, [r["url"] for r in w.sites().select("url").collect()], w.settings), now),
@@ -279,6 +313,10 @@ def main(arguments: list[str] | None = None) -> int:
         "triage": lambda: "\n".join(f"{r['status']}: {r['name']}" for r in w.triage(registry.suggestions(listed(a.path)), a.new_only).collect()),
         "review": lambda: w.review(today, a.batch, a.output),
         "process": lambda: w.process(a.path),
+        "test": lambda: w.test(a.url, page()),
+        "try-site": lambda: w.try_site(a.url, page(), a.parser),
+        "add-site": lambda: w.add_site(a.name, a.url, a.keywords, a.details, a.parser),
+        "validate-urls": lambda: w.validate_urls(_probed(spark, w), w.path(a.output)),
         "approve": lambda: w.decide(a.ids, True),
         "reject": lambda: w.decide(a.ids, False),
     }
