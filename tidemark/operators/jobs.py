@@ -137,10 +137,12 @@ def accept_new(batch: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30
     shared = rows.groupBy("url").agg(F.min("_title").alias("_a"), F.max("_title").alias("_b")).where("_a != _b").select("url")
     tied = rows.join(shared, "url", "left_semi").select("_title").distinct()
     simple, knotted = rows.join(tied, "_title", "left_anti"), rows.join(tied, "_title", "left_semi")
-    first_site = F.first("site_name").over(Window.partitionBy("_title").orderBy("arrival"))
+    short = F.length("_title") < TITLE_GATE
+    # rows with short titles aren't compared, so each is a group of its own
+    first_site = F.first("site_name").over(Window.partitionBy("_title", F.when(short, F.col("arrival"))).orderBy("arrival"))
     held = F.coalesce(F.size("_holders"), F.lit(0))
     owner = F.when(held == 1, F.get("_holders", 0)).when(held == 0, first_site)
-    accepted = simple.withColumn("_owner", owner).where((F.length("_title") < TITLE_GATE) | (F.col("site_name") == F.col("_owner")))
+    accepted = simple.withColumn("_owner", owner).where(short | (F.col("site_name") == F.col("_owner")))
     by_url = Window.partitionBy("url").orderBy("arrival")
     accepted = accepted.withColumn("_n", F.row_number().over(by_url)).where("_n = 1").select(*batch.columns)
     return accepted.unionByName(_folded(knotted, batch.columns))
