@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemark.llm import sentence_spans as S
 
 
@@ -44,7 +46,9 @@ def corpus(seed, n=60):
     return docs
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [5000, 30, 1])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_RUNS", hot)
     for seed in range(3):
         docs = corpus(seed)
         want = brute(docs)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, salted_join, text_of, through_table
+from ._common import arrow_map, bounded_batches, text_of, through_table
 
 #: A run is hashed once it has this many sentences and words.
 RUNS = ((3, 12), (2, 30), (1, 50))
@@ -29,6 +29,10 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NO_ID = -(1 << 63)
+#: At most so many hot runs, those with more than 1 / HOT_RUNS of all repeated occurrences, are known to every task.
+HOT_RUNS = 5000
+#: Join key of the rows that carry a document's hot runs, dealt over SALTS copies.
+_CARRIED, SALTS = 1, 64
 
 
 def sentences(text: str) -> tuple[list[int], list[str]]:
@@ -99,25 +103,69 @@ def all_runs(docs: DataFrame) -> DataFrame:
     return arrow_map(own, run, "hash long, doc_id long, first int, past int")
 
 
+def _marked_runs(docs: DataFrame, hot: list) -> DataFrame:
+    """As all_runs() without the hot runs; those of a document that have to go are carried by one row of it."""
+    bounded_batches(docs.sparkSession)
+    hot = sorted((r["hash"], r["first_doc_id"], r["first_at"]) for r in hot)
+    known = [np.array([r[k] for r in hot], np.int64) for k in range(3)]
+
+    def run(batch):
+        rows: list[tuple] = []  # of each document: its runs that aren't hot
+        carried: list[tuple] = []  # of a document with hot runs to remove: those
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            code, begin, end = run_hashes(text)
+            if len(hot) and len(code):
+                at = np.minimum(np.searchsorted(known[0], code), len(hot) - 1)
+                common = known[0][at] == code
+                gone = common & ((known[1][at] != i) | (known[2][at] != begin))
+                if gone.any():
+                    carried.append((i, begin[gone], end[gone], np.unique(known[1][at[gone]])))
+                code, begin, end = code[~common], begin[~common], end[~common]
+            rows.append((i, code, begin, end))
+        count = [len(r[1]) for r in rows]
+        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        plain = np.arange(sum(count) + len(carried) + 1) < sum(count)  # rows without lists: null
+        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(sum(count) + 1, np.int32), np.cumsum(sizes, dtype=np.int32)]), mask=plain), values)
+        none = np.zeros(len(carried), np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(flat((c[k] for c in carried), np.int32)) for k in (1, 2)], names=["first", "past"])
+        columns = [
+            pa.array(flat([*(r[1] for r in rows), none + _CARRIED], np.int64)),
+            pa.array(flat([np.repeat([r[0] for r in rows], count), [c[0] for c in carried]], np.int64)),
+            *(pa.array(flat([*(r[k] for r in rows), none], np.int32)) for k in (2, 3)),
+            lists([len(c[1]) for c in carried], spans),
+            lists([len(c[3]) for c in carried], pa.array(flat((c[3] for c in carried), np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "first", "past", "spans", "firsts"])
+
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of().alias("text"))
+    return arrow_map(own, run, "hash long, doc_id long, first int, past int, spans array<struct<first: int, past: int>>, firsts array<long>")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row for each document with sentences to remove: doc_id (null as the lowest long), spans (start and end
     characters of runs whose first occurrence is elsewhere) and first_doc_ids, the documents that hold those.
 
-    Counts are combined before they are shuffled, and the runs of a hot hash are spread over copies of its one row.
+    Counts are combined before they are shuffled. Hot runs, of which there are HOT_RUNS at most, are looked up where
+    the documents are read, so their occurrences are never shuffled; all others are joined by hash.
     """
-    runs = all_runs(docs)
     firsts = (
-        runs.groupBy("hash")
+        all_runs(docs)
+        .groupBy("hash")
         .agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("hash", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("first_at"), "n")
     )
-    return (
-        salted_join(runs, through_table(firsts, "repeated-runs"), "hash", "n")
-        .where("doc_id != first_doc_id or first != first_at")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("spans"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
-    )
+    firsts = through_table(firsts, "repeated-runs")
+    many = max(1, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT_RUNS)
+    runs = _marked_runs(docs, firsts.where(F.col("n") > many).select("hash", "first_doc_id", "first_at").collect())
+    carried = docs.sparkSession.range(SALTS).select(F.lit(_CARRIED).cast("long").alias("hash"), F.lit(None).cast("long").alias("first_doc_id"), F.lit(-1).alias("first_at"), F.col("id").cast("int").alias("_salt"))
+    known = firsts.where(F.col("n") <= many).select("hash", "first_doc_id", "first_at", F.lit(0).alias("_salt")).unionByName(carried)
+    carries = F.col("spans").isNotNull()
+    salt = F.when(carries, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = runs.withColumn("_salt", salt).join(known, ["hash", "_salt"]).where("spans is not null or doc_id != first_doc_id or first != first_at")
+    each = found.select("doc_id", F.when(carries, F.col("spans")).otherwise(F.array(F.struct("first", "past"))).alias("spans"), F.when(carries, F.col("firsts")).otherwise(F.array("first_doc_id")).alias("firsts"))
+    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
+    return each.groupBy("doc_id").agg(flat("spans").alias("spans"), flat("firsts").alias("first_doc_ids"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
