@@ -98,3 +98,15 @@ def test_edge_rows(spark):
     kept = C.keep_one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 8]
     assert C.near_duplicate_classes(docs.limit(0)).count() == 0
+
+
+def test_query_against_its_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}'")
+    want = con.sql(C.ORACLE)
+    found = C.near_duplicate_classes(spark.read.parquet(path))
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())

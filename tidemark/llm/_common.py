@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds; documents are a few KB each.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
+#: Stands in for the shared folder where the session names none.
+_own: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +42,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = checkpoint.get() if checkpoint.isDefined() else None
     if base is None:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        global _own
+        if _own is None:
+            _own = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _own, ignore_errors=True)
+        base = f"file://{_own}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -46,14 +54,16 @@ def through_table(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
 
 
-def delete_shared(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by shared_dir()."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(table: DataFrame) -> None:
+    """Remove a table of through_table() that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot_keys: int = 5000, salts: int = 64) -> DataFrame:
@@ -114,10 +124,26 @@ def map_shared(uri: str):
         return np.memmap(keep, dtype=np.uint8, mode="r")
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: What a Python worker keeps between tasks, by operator, and how to let go of it.
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, clear: Callable[[], object]) -> None:
+    """Register something that this worker keeps for an operator's next tasks."""
+    _held[name] = clear
+
+
+def release(but: str | None = None) -> None:
+    """Let go of what earlier operators kept, as workers go on from one operator to the next."""
+    for name in [n for n in _held if n != but]:
+        _held.pop(name)()
+
+
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; `keeps` names what may stay in the worker."""
 
     def run(batches):
+        release(keeps)
         for batch in batches:
             if batch.num_rows:
                 out = function(batch)

@@ -30,11 +30,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, chunks_by_bytes, text_of
+from ._common import arrow_map, bounded_batches, chunks_by_bytes, hold, text_of
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words of up to so many bytes are kept, in two generations of so many entries each.
-_CACHED_LENGTH, _CACHE_ENTRIES = 48, 500_000
+_CACHED_LENGTH, _CACHE_ENTRIES = 48, 200_000
 _NEVER = 1 << 60
 
 
@@ -113,7 +113,7 @@ class MergeList:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = self._fits_now(left, right)
         return known
@@ -306,6 +306,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, column: str = "text"
             try:
                 with open(where, "rb") as f:
                     if hashlib.sha256(f.read()).hexdigest() == digest:
+                        hold("bpe", _codec.cache_clear)
                         return _codec(digest, where)
             except OSError:
                 continue
@@ -331,7 +332,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, column: str = "text"
         finally:
             gc.enable()
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_of(column)), run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_of(column)), run, "doc_id long, n_tokens long, ids binary, decoded string", keeps="bpe")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, salted_join, text_of, through_table
+from ._common import arrow_map, bounded_batches, drop_table, release, salted_join, text_of, through_table
 
 SHINGLE_WORDS, TREES, BASE, BRANCHES, LEAF = 4, 20, 3, 2, 16
 #: Shingles of the sets that are compared in one task at a time.
@@ -161,10 +161,13 @@ def classes(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = through_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "from"), "steps")
+        old = edges, label
         label = through_table(label.join(step, label["class"] == step["from"], "left").select("id", F.coalesce("to", "class").alias("class")), "classes")
         ends = [step.select(F.col("from").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b")]
         moved = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         edges = through_table(moved.where("a != b").distinct(), "links")
+        for done in (*old, step):
+            drop_table(done)
     return label
 
 
@@ -246,6 +249,7 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
 
     def run(batches):
+        release()
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -325,3 +329,24 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     once = Window.partitionBy("_kept").orderBy("text")
     return keyed.join(found, "_kept", "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+
+
+#: The same rows by a join of all shingles and a recursive walk over the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w
+), sized AS (
+  SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n FROM sets
+), each AS (
+  SELECT doc_id, n, unnest(s) AS g FROM sized
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(id, v) AS (
+  SELECT doc_id, doc_id FROM sized UNION SELECT r.id, l.y FROM reach r JOIN links l ON r.v = l.x
+), least AS (
+  SELECT id, min(v) AS c FROM reach GROUP BY 1
+)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM sized JOIN least ON id = doc_id
+"""

@@ -74,4 +74,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {"op4_warc_revisits": warc_revisit.ORACLE}
+ORACLE: dict[str, str] = {"op4_warc_revisits": warc_revisit.ORACLE, "op9_chosen_path": chosen_path.ORACLE}
