@@ -46,7 +46,7 @@ class Brute:
             for s in seqs:
                 for i in range(len(s) - k + 1):
                     g = tuple(s[i : i + k])
-                    if all(self.count[w] >= T.LEAST_WORD[k] for w in g) and (k == 2 or g[:-1] in self.grams[k - 1]):
+                    if all(self.count[w] >= max(1, math.ceil(T.LEAST_SHARE[k] * self.n)) for w in g) and (k == 2 or g[:-1] in self.grams[k - 1]):
                         grams[g] += 1
             self.grams[k] = {g: n for g, n in grams.items() if n >= T.LEAST_COUNT}
         self.mass = defaultdict(float)
@@ -74,7 +74,7 @@ class Brute:
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_against_the_definition(spark, monkeypatch, order):
-    monkeypatch.setattr(T, "LEAST_WORD", {2: 3, 3: 5})
+    monkeypatch.setattr(T, "LEAST_SHARE", {2: 0.002, 3: 0.02})
     monkeypatch.setattr(T, "SHARD_ROWS", 40)
     rng = random.Random(order)
     vocabulary = [f"w{k}" for k in range(12)] + ["É", "é", "Big", "big"]

@@ -9,9 +9,11 @@ successor of base + word between its two pointers.
 
 Probabilities are interpolated: p(w) = (c + 0.1) / (N + 0.1 (V + 1)), and above it absolute discounting,
 p(w | h) = max(c(hw) - D, 0) / c(h) + weight(h) p(w | h'), where weight(h) is what the kept followers leave. An n-gram
-is kept if all its words occur LEAST_WORD[n] times and it occurs LEAST_COUNT times in the training texts.
+is kept if each of its words makes up LEAST_SHARE[n] of the training tokens and it occurs LEAST_COUNT times. So the
+words in question are fewer than 1 / LEAST_SHARE at any size of corpus, and every task that counts n-grams has them.
 
-Every level is cut into shards by hash, so no word is hot and each shard fits a task. Tasks write shards to the shared
+Every level is cut into shards by a hash of the context, whose followers are at most the words that occur often enough
+to be kept, so that each shard fits a task. Tasks write shards to the shared
 folder; scoring tasks memory-map them. Counts are combined in each task before they are shuffled.
 
 Null is the empty text: one end token. Rows are independent when scored; repeated training rows count again. A null
@@ -30,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, map_shared, shared_dir, text_of, through_table, write_shared
+from ._common import arrow_map, bounded_batches, map_shared, release, shared_dir, text_of, through_table, write_shared
 from ._labels import held_out
 from .elias_fano import EliasFano
 
 FOLDS, HELD = 10, 0
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.75, 2
-#: Least count in the training texts of every word of a kept n-gram.
-LEAST_WORD = {2: 200, 3: 2000}
-SHARD_ROWS = 1 << 20
+#: Least share of the training tokens of every word of a kept n-gram.
+LEAST_SHARE = {2: 2e-5, 3: 1e-4}
+SHARD_ROWS = 1 << 21
 _STEP = 1 / 4000
 _END = b"\n"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -49,10 +51,10 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / _STEP), 0, 65535).astype(np.uint16)
 
 
-def _shard(a: np.ndarray, b: np.ndarray | int, bits: int) -> np.ndarray:
+def _shard(context: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (np.asarray(a).astype(np.uint64) * _P + np.asarray(b).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * _P
+        h = context.astype(np.uint64) * _P
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -127,58 +129,50 @@ class Words:
 class Level:
     """Level n over mapped shards: (context, word) -> node, with probability, count, and the contexts' weights."""
 
-    def __init__(self, folder: str, order: int, bits: int, starts: list[int], weight_bits: int):
-        self.folder, self.order, self.bits, self.starts, self.weight_bits = folder, order, bits, np.array(starts, np.int64), weight_bits
+    def __init__(self, folder: str, order: int, bits: int, starts: list[int]):
+        self.folder, self.order, self.bits, self.starts = folder, order, bits, np.array(starts, np.int64)
         self.open: dict[int, tuple] = {}
-        self.weights: dict[int, tuple] = {}
 
     def _part(self, s: int):
         if s not in self.open:
             p = _parts(map_shared(f"{self.folder}/level{self.order}-{s}"))
-            self.open[s] = (*(EliasFano.from_bytes(x) for x in p[:4]), p[4].view("<u2"), p[5].view("<u4"))
+            self.open[s] = (*(EliasFano.from_bytes(x) for x in p[:4]), p[4].view("<u2"), p[5].view("<u4"), p[6].view("<u2"))
         return self.open[s]
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node (-1 if there is none) and log10 probability of each pair; context -1 has no followers."""
-        node, log = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        able = np.flatnonzero((context >= 0) & (word >= 0))
-        shard = _shard(context[able], word[able], self.bits)
-        for s in np.unique(shard).tolist():
+    def weight(self, context: np.ndarray) -> np.ndarray:
+        """log10 of the contexts' back-off weights; 0 for a context without followers."""
+        return self.find(context, np.zeros(0, np.int64), np.zeros(0, np.int64))[2]
+
+    def find(self, context: np.ndarray, which: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs of a context, named by its place in `context`, and a word: node (-1 if there is none) and log10
+        probability; and for each context its log10 weight. Contexts and words may be -1."""
+        node, log, weight = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(context))
+        shard = np.where(context >= 0, _shard(context, self.bits), -1)
+        of_pair = np.where(word >= 0, shard[which], -1) if len(word) else np.zeros(0, np.int64)
+        order = np.argsort(of_pair, kind="stable")
+        cuts = np.searchsorted(of_pair[order], np.arange((1 << self.bits) + 1))
+        for s in np.unique(shard[shard >= 0]).tolist():
             if self.starts[s + 1] == self.starts[s]:
                 continue
-            own = able[shard == s]
-            contexts, pointers, bases, followers, q, _ = self._part(s)
-            each, back = np.unique(context[own], return_inverse=True)
-            place = contexts.find(each.astype(np.uint64))
+            contexts, pointers, bases, followers, q, _, weights = self._part(s)
+            own = np.flatnonzero(shard == s)
+            place = contexts.find(context[own].astype(np.uint64))
             known = place >= 0
-            first, past, base = np.zeros(len(each), np.int64), np.zeros(len(each), np.int64), np.zeros(len(each), np.uint64)
-            first[known], past[known] = pointers.get(place[known]).astype(np.int64), pointers.get(place[known] + 1).astype(np.int64)
-            base[known] = bases.get(place[known])
-            got = followers.find(base[back] + word[own].astype(np.uint64), first[back], past[back])
-            got = np.where(known[back], got, -1)
-            hit = got >= 0
-            node[own[hit]] = got[hit] + self.starts[s]
-            log[own[hit]] = q[got[hit]] * -_STEP
-        return node, log
-
-    def weight(self, context: np.ndarray) -> np.ndarray:
-        """log10 of the contexts' back-off weights; 0 for a context without followers."""
-        out = np.zeros(len(context))
-        able = np.flatnonzero(context >= 0)
-        shard = _shard(context[able], 0, self.weight_bits)
-        for s in np.unique(shard).tolist():
-            own = able[shard == s]
-            if s not in self.weights:
-                try:
-                    p = _parts(map_shared(f"{self.folder}/weights{self.order}-{s}"))
-                    self.weights[s] = EliasFano.from_bytes(p[0]), p[1].view("<u2")
-                except FileNotFoundError:
-                    self.weights[s] = EliasFano.build(np.zeros(0, np.uint64)), np.zeros(0, np.uint16)
-            contexts, q = self.weights[s]
-            got = contexts.find(context[own].astype(np.uint64))
+            own, place = own[known], place[known]
+            weight[own] = weights[place] * -_STEP
+            pairs = order[cuts[s] : cuts[s + 1]]
+            if not len(pairs) or not len(own):
+                continue
+            row = np.full(len(context), -1, np.int64)
+            row[own] = np.arange(len(own))
+            at = row[which[pairs]]
+            pairs, at = pairs[at >= 0], at[at >= 0]
+            first, past = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
+            got = followers.find(bases.get(place)[at] + word[pairs].astype(np.uint64), first[at], past[at])
             hit = got >= 0
-            out[own[hit]] = q[got[hit]] * -_STEP
-        return out
+            node[pairs[hit]] = got[hit] + self.starts[s]
+            log[pairs[hit]] = q[got[hit]] * -_STEP
+        return node, log, weight
 
     def _spread(self, node: np.ndarray):
         shard = np.searchsorted(self.starts, node, "right") - 1
@@ -208,19 +202,17 @@ class Trie:
     def __init__(self, words: Words, levels: list[Level]):
         self.words, self.levels = words, levels
 
-    def log10(self, context: list[np.ndarray], word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 p of words (ids, -1 unknown, with their counts) after the contexts' nodes at levels 1, 2, ..."""
-        out = self.words.log10(counts)
-        for level, nodes in zip(self.levels, context, strict=False):
-            node, log = level.find(nodes, word)
-            out = np.where(node >= 0, log, out + level.weight(nodes))
-        return out
+    def log10(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 p of words (ids with their counts) after single words (ids)."""
+        each, which = np.unique(context, return_inverse=True)
+        node, log, weight = self.levels[0].find(each, which, word)
+        return np.where(node >= 0, log, self.words.log10(counts) + weight[which])
 
 
 @lru_cache(maxsize=4)
 def _opened(key: str, words: tuple, levels: tuple) -> Trie:
     del key
-    return Trie(Words(*words[:2], list(words[2]), *words[3:]), [Level(f, n, b, list(s), w) for f, n, b, s, w in levels])
+    return Trie(Words(*words[:2], list(words[2]), *words[3:]), [Level(f, n, b, list(s)) for f, n, b, s in levels])
 
 
 # ---------------------------------------------------------------- texts
@@ -238,30 +230,48 @@ class Tokens:
         self.text = np.repeat(np.arange(len(texts)), self.size)
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of small non-negative numbers, where each pair is among them, and their counts."""
-    wide = int(b.max(initial=0)) + 1
-    key, back, n = np.unique(a * wide + b, return_inverse=True, return_counts=True)
-    return key // wide, key % wide, back, n
-
-
-def _placed(trie: Trie, tokens: Tokens, order: int):
-    """Per token its word id and count, and the nodes of the contexts before it at levels 1 to order - 1 (-1: none)."""
-    ids, counts = trie.words.find(tokens.hashes)
-    word = ids[tokens.index]
-    count = counts[tokens.index]
-    first = np.concatenate([[True], np.diff(tokens.text) > 0]) if len(word) else np.zeros(0, bool)
-    node, contexts = word, []
-    for n in range(1, order):
-        before = np.concatenate([[-1], node[:-1]])[: len(word)]
-        before[first] = -1
-        contexts.append(before)
-        if n < order - 1:
-            _, local = np.unique(before, return_inverse=True)
-            a, b, back, _ = _unique_pairs(local, tokens.index)
-            distinct = np.unique(before)
-            node = trie.levels[n - 1].find(distinct[a], ids[b])[0][back]
-    return ids, word, count, contexts
+def _encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order of appearance, and where each key is among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+
+
+class Placed:
+    """A batch's tokens in the trie, level by level. A state is a distinct context: at level 1 a distinct token."""
+
+    def __init__(self, trie: Trie, tokens: Tokens, least: dict[int, int]):
+        self.trie, self.tokens, self.least = trie, tokens, least
+        self.ids, self.counts = trie.words.find(tokens.hashes)
+        self.count = self.counts[tokens.index]
+        self.first = np.concatenate([[True], np.diff(tokens.text) > 0]) if len(tokens.index) else np.zeros(0, bool)
+
+    def levels(self, order: int):
+        """For n = 2 to order: tokens that have a context at level n - 1 and may have a node at level n, the contexts'
+        nodes, which of them each such token has, and its word; the receiver sends back the nodes it found, if any."""
+        tokens, width = self.tokens, len(self.ids)
+        states, of_token = self.ids, tokens.index
+        frequent = self.count >= self.least[2]
+        run = frequent & ~self.first
+        for n in range(2, order + 1):
+            often = self.count >= self.least[n]
+            if n > 2:
+                run = often.copy()
+                for back in range(1, n):
+                    run[back:] &= often[:-back]
+                    run[:back] = False
+                    run &= ~np.concatenate([np.zeros(back - 1, bool), self.first[: len(run) - back + 1]])
+            else:
+                run[1:] &= frequent[:-1]
+            at = np.flatnonzero(run)
+            state = of_token[at - 1]
+            good = (state >= 0) & (states[state] >= 0)
+            at, state = at[good], state[good]
+            keys, which = _encoded(state * width + tokens.index[at])
+            found = yield n, at, states, keys // width, self.ids[keys % width], which
+            if n < order:
+                nodes = found if found is not None else self.trie.levels[n - 2].find(states, keys // width, self.ids[keys % width])[0]
+                states, of_token = nodes, np.full(len(tokens.index), -1, np.int64)
+                of_token[at] = which
 
 
 # ---------------------------------------------------------------- building
@@ -303,6 +313,7 @@ class _Counter:
 
 def _word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
+        release()
         counter = _Counter(1)
         for batch in batches:
             t = Tokens(batch.column(0).to_pylist())
@@ -366,92 +377,101 @@ def _build_words(counts: DataFrame, folder: str) -> tuple:
     return folder, bits, _starts(meta, 1 << bits), sum(r.total for r in meta), sum(r.rows for r in meta)
 
 
-def _gram_counts(texts: DataFrame, order: int, words: tuple, levels: tuple) -> DataFrame:
-    """k0 (context node), k1 (word id), n of the kept n-grams."""
-    least = LEAST_WORD[order]
+def _least_counts(words: tuple) -> dict[int, int]:
+    return {n: max(1, int(np.ceil(share * words[3]))) for n, share in LEAST_SHARE.items()}
+
+
+def _frequent(counts: DataFrame, words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (in order), ids and counts of the words frequent enough for bigrams, fewer than 1 / LEAST_SHARE[2]."""
+    rows = counts.where(F.col("n") >= _least_counts(words)[2]).select("k0").collect()
+    hashes = np.sort(np.array([r.k0 for r in rows], np.int64).view(np.uint64))
+    return (hashes, *Words(*words[:2], list(words[2]), *words[3:]).find(hashes))
+
+
+def _gram_counts(texts: DataFrame, order: int, words: tuple, frequent: tuple) -> DataFrame:
+    """k0, k1, k2 (word ids; k2 is -1 for bigrams) and n of the kept n-grams, from one pass over the texts."""
+    least = _least_counts(words)
+    hashes, ids, counts = frequent
 
     def run(batches):
-        trie, counter = _opened(words[0], words, levels), _Counter(2)
+        counter = _Counter(3)
         for batch in batches:
             tokens = Tokens(batch.column(0).to_pylist())
-            ids, _, count, contexts = _placed(trie, tokens, order)
-            often = count >= least
-            good = often & (contexts[-1] >= 0)
-            for back in range(1, order):
-                good[back:] &= often[:-back]
-                good[:back] = False
-            at = np.flatnonzero(good)
-            distinct, local = np.unique(contexts[-1][at], return_inverse=True)
-            a, b, _, n = _unique_pairs(local, tokens.index[at])
-            yield from counter.add([distinct[a], ids[b]], n)
+            if not len(hashes):
+                continue
+            at = np.minimum(np.searchsorted(hashes, tokens.hashes), len(hashes) - 1)
+            known = hashes[at] == tokens.hashes
+            id_of, count_of = np.where(known, ids[at], -1), np.where(known, counts[at], 0)[tokens.index]
+            width = len(tokens.hashes)
+            for n in range(2, order + 1):
+                often = count_of >= least[n]
+                run_of = often.copy()
+                for back in range(1, n):
+                    run_of[back:] &= often[:-back] & (tokens.text[back:] == tokens.text[:-back])
+                    run_of[:back] = False
+                place = np.flatnonzero(run_of)
+                keys, which = _encoded(tokens.index[place - 1] * width + tokens.index[place])
+                if n == 2:
+                    columns = [id_of[keys // width], id_of[keys % width], np.full(len(keys), -1)]
+                else:
+                    pairs, pair = _encoded(tokens.index[place - 2] * width + tokens.index[place - 1])
+                    keys, which = _encoded(pair * width + tokens.index[place])
+                    before = pairs[keys // width]
+                    columns = [id_of[before // width], id_of[before % width], id_of[keys % width]]
+                yield from counter.add(columns, np.bincount(which, minlength=len(keys)))
         yield from counter.flush()
 
-    return texts.mapInArrow(run, "k0 long, k1 long, n long").groupBy("k0", "k1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    found = texts.mapInArrow(run, "k0 long, k1 long, k2 long, n long")
+    return found.groupBy("k0", "k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def _context_count(trie: Trie, order: int, context: np.ndarray) -> np.ndarray:
     return trie.words.count(context) if order == 2 else trie.levels[order - 3].count(context)
 
 
-def _build_weights(grams: DataFrame, order: int, words: tuple, levels: tuple, folder: str) -> int:
-    mass = through_table(grams.groupBy("k0").agg(F.sum(F.col("n") - DISCOUNT).alias("mass")), f"mass{order}")
-    bits = _bits(mass.count())
-
-    def shard(batch):
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shard(batch.column(0).to_numpy(), 0, bits))], names=["k0", "mass", "shard"])
-
-    def run(batches):
-        trie = _opened(words[0], words, levels)
-        for s, (context, own) in _groups(batches, ["k0", "mass"]):
-            left = 1 - own / _context_count(trie, order, context)
-            write_shared(f"{folder}/weights{order}-{s}", _join(EliasFano.build(context).to_bytes(), quantised(np.log10(np.maximum(left, 1e-16))).tobytes()))
-            yield _meta([(s, len(context), 0)])
-
-    _by_shard(arrow_map(mass, shard, "k0 long, mass double, shard long"), 1 << bits, "k0").mapInArrow(run, _META).collect()
-    return bits
-
-
 def _build_level(grams: DataFrame, order: int, words: tuple, levels: tuple, folder: str) -> tuple:
-    weight_bits, bits = _build_weights(grams, order, words, levels, folder), _bits(grams.count())
+    grams = grams.where("k2 = -1" if order == 2 else "k2 >= 0")
+    bits = _bits(grams.count())
 
     def shard(batch):
-        pair = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shard(*pair, bits))], names=["k0", "k1", "n", "shard"])
+        context, word, last, n = (batch.column(k).to_numpy() for k in range(4))
+        if order == 3:
+            each, which = np.unique(context, return_inverse=True)
+            context, word = _opened(words[0], words, levels).levels[0].find(each, which, word)[0], last
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (context, word, n, _shard(context, bits))], names=["k0", "k1", "n", "shard"])
 
     def run(batches):
-        trie, own = _opened(words[0], words, levels), Level(folder, order, bits, [0] * ((1 << bits) + 1), weight_bits)
+        trie = _opened(words[0], words, levels)
         for s, (context, word, n) in _groups(batches, ["k0", "k1", "n"]):
             each, first = np.unique(context, return_index=True)
             row = np.repeat(np.arange(len(each)), np.diff([*first, len(context)]))
-            total = _context_count(trie, order, each)[row]
-            weight = 10 ** own.weight(each)[row]
+            total = _context_count(trie, order, each)
+            left = quantised(np.log10(np.maximum(1 - np.add.reduceat(n - DISCOUNT, first) / total, 1e-16)))
             counts = trie.words.count(word)
-            lower = [trie.levels[order - 3].word(context)] if order > 2 else []
-            if order == 2:
-                below = 10 ** trie.words.log10(counts)
-            else:
-                below = 10 ** trie.log10(lower, word, counts)
-            p = (n - DISCOUNT) / total + weight * below
+            below = trie.words.log10(counts) if order == 2 else trie.log10(trie.levels[order - 3].word(each)[row], word, counts)
+            p = (n - DISCOUNT) / total[row] + 10 ** (left[row] * -_STEP + below)
             last = word[np.concatenate([first[1:] - 1, [len(word) - 1]])]
             bases = np.concatenate([[0], np.cumsum(last + 1)[:-1]])
             parts = [EliasFano.build(x).to_bytes() for x in (each, np.concatenate([first, [len(context)]]), bases, bases[row] + word)]
-            write_shared(f"{folder}/level{order}-{s}", _join(*parts, quantised(np.log10(np.minimum(p, 1.0))).tobytes(), np.minimum(n, 2**32 - 1).astype("<u4").tobytes()))
+            write_shared(f"{folder}/level{order}-{s}", _join(*parts, quantised(np.log10(np.minimum(p, 1.0))).tobytes(), np.minimum(n, 2**32 - 1).astype("<u4").tobytes(), left.tobytes()))
             yield _meta([(s, len(n), 0)])
 
     sharded = arrow_map(grams, shard, "k0 long, k1 long, n long, shard long")
     meta = _by_shard(sharded, 1 << bits, "k0", "k1").mapInArrow(run, _META).collect()
-    return folder, order, bits, _starts(meta, 1 << bits), weight_bits
+    return folder, order, bits, _starts(meta, 1 << bits)
 
 
 def train(texts: DataFrame, order: int = ORDER) -> tuple[tuple, tuple]:
-    """Build the trie of the texts (column text, no nulls) in the shared folder; what it returns opens it anywhere."""
+    """Build the trie of order 2 or 3 of the texts (column text, no nulls) in the shared folder; what it returns opens it
+    anywhere."""
     spark: SparkSession = texts.sparkSession
     bounded_batches(spark)
     folder = shared_dir(spark, "trie")
-    words = _build_words(through_table(_word_counts(texts), "word-counts"), folder)
+    counts = through_table(_word_counts(texts), "word-counts")
+    words = _build_words(counts, folder)
+    grams = through_table(_gram_counts(texts, order, words, _frequent(counts, words)), "grams")
     levels: tuple = ()
     for n in range(2, order + 1):
-        grams = through_table(_gram_counts(texts, n, words, levels), f"grams{n}")
         levels += (_build_level(grams, n, words, levels, folder),)
     return words, levels
 
@@ -460,26 +480,27 @@ def score(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     bounded_batches(docs.sparkSession)
     words, levels = model
+    least = _least_counts(words)
 
     def run(batch):
         trie, texts = _opened(words[0], words, levels), batch.column(1).to_pylist()
         tokens = Tokens(texts)
-        ids, _, count, contexts = _placed(trie, tokens, len(levels) + 1)
+        placed = Placed(trie, tokens, least)
         add = lambda x: np.bincount(tokens.text, x, len(texts))
-        distinct_count = np.zeros(len(ids), np.int64)
-        distinct_count[tokens.index] = count
-        total = trie.words.log10(distinct_count)[tokens.index]
+        total = trie.words.log10(placed.counts)[tokens.index]
         base = add(total)
-        for level, context in zip(trie.levels, contexts, strict=True):
-            each, local = np.unique(context, return_inverse=True)
-            weight = level.weight(each)[local]
-            able = np.flatnonzero((context >= 0) & (weight < 0) & (ids[tokens.index] >= 0))
-            a, b, back, _ = _unique_pairs(local[able], tokens.index[able])
-            node, log = level.find(each[a], ids[b])
-            total = total + weight
-            hit = node[back] >= 0
-            total[able[hit]] = log[back][hit]
-        columns = [batch.column(0), pa.array(tokens.size), pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(len(texts), trie.words.total)), pa.array(base), pa.array(add(total))]
+        walk, found = placed.levels(len(levels) + 1), None
+        before = tokens.index  # the state each token leaves behind, at the level at hand
+        for level in trie.levels:
+            n, at, states, state, word, which = walk.send(found)
+            node, log, weight = level.find(states, state, word)
+            after = np.append(weight, 0.0)[before[:-1]]  # a token without a state leaves -1 behind, the weight 0
+            total[1:] += np.where(placed.first[1:], 0.0, after)
+            hit = node[which] >= 0
+            total[at[hit]] = log[which[hit]]
+            found, before = node, np.full(len(total), -1, np.int64)
+            before[at] = which
+        columns = [batch.column(0), pa.array(tokens.size), pa.array(add(placed.count > 0).astype(np.int64)), pa.array(np.full(len(texts), trie.words.total)), pa.array(base), pa.array(add(total))]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return arrow_map(docs, run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
