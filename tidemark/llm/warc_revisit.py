@@ -86,7 +86,9 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     revisits = records.where("kind = 'revisit'").select(*(F.col(c).alias(f"r_{c}") for c in ("record_id", "url", "captured", "digest", "etag", "last_modified", "headers")))
     originals = records.where("kind = 'response'").dropDuplicates(["record_id"]).select(*(F.col(c).alias(f"o_{c}") for c in ("record_id", "status", "digest", "etag", "last_modified", "headers", "body")))
     found = latest_responses(records, bucket_seconds).distinct().withColumnRenamed("record_id", "l_record_id")
-    both = revisits.join(found, F.col("r_record_id").eqNullSafe(F.col("l_record_id")), "left").join(originals, F.col("original_id") == F.col("o_record_id"), "left")
+    # a key of its own for each revisit without an original, else all of them meet in one task
+    key = F.coalesce(F.col("original_id"), F.lit(-(1 << 62)) - F.abs(F.coalesce("r_record_id", F.lit(0))))
+    both = revisits.join(found, F.col("r_record_id").eqNullSafe(F.col("l_record_id")), "left").join(originals, key == F.col("o_record_id"), "left")
     good = F.col("original_id").isNotNull() & F.coalesce(validators_agree("r_", "o_"), F.lit(False))
     return both.select(
         F.col("r_record_id").alias("record_id"),
