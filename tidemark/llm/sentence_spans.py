@@ -127,7 +127,7 @@ def _marked_runs(docs: DataFrame, hot: list) -> DataFrame:
         plain = np.arange(sum(count) + len(carried) + 1) < sum(count)  # rows without lists: null
         lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(sum(count) + 1, np.int32), np.cumsum(sizes, dtype=np.int32)]), mask=plain), values)
         none = np.zeros(len(carried), np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(flat((c[k] for c in carried), np.int32)) for k in (1, 2)], names=["first", "past"])
+        spans = pa.array(flat((c[1].astype(np.int64) << 32 | c[2] for c in carried), np.int64))
         columns = [
             pa.array(flat([*(r[1] for r in rows), none + _CARRIED], np.int64)),
             pa.array(flat([np.repeat([r[0] for r in rows], count), [c[0] for c in carried]], np.int64)),
@@ -138,7 +138,7 @@ def _marked_runs(docs: DataFrame, hot: list) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "first", "past", "spans", "firsts"])
 
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return arrow_map(own, run, "hash long, doc_id long, first int, past int, spans array<struct<first: int, past: int>>, firsts array<long>")
+    return arrow_map(own, run, "hash long, doc_id long, first int, past int, spans array<long>, firsts array<long>")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -163,9 +163,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     carries = F.col("spans").isNotNull()
     salt = F.when(carries, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     found = runs.withColumn("_salt", salt).join(known, ["hash", "_salt"]).where("spans is not null or doc_id != first_doc_id or first != first_at")
-    each = found.select("doc_id", F.when(carries, F.col("spans")).otherwise(F.array(F.struct("first", "past"))).alias("spans"), F.when(carries, F.col("firsts")).otherwise(F.array("first_doc_id")).alias("firsts"))
+    # a span as one number, start before end, so that equal ones are told by a hash
+    one = F.shiftleft(F.col("first").cast("long"), 32) + F.col("past")
+    each = found.select("doc_id", F.when(carries, F.col("spans")).otherwise(F.array(one)).alias("spans"), F.when(carries, F.col("firsts")).otherwise(F.array("first_doc_id")).alias("firsts"))
     flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
-    return each.groupBy("doc_id").agg(flat("spans").alias("spans"), flat("firsts").alias("first_doc_ids"))
+    rows = each.groupBy("doc_id").agg(flat("spans").alias("spans"), flat("firsts").alias("first_doc_ids"))
+    span = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("past"))
+    return rows.select("doc_id", F.transform("spans", span).alias("spans"), "first_doc_ids")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
