@@ -72,3 +72,15 @@ def test_rollup(spark):
     got = J.scrape_rollup(rows).first()
     assert (got.total_new_jobs, got.successful_sites, got.failed_sites, [r.site_name for r in got.site_results]) == (2, 1, 1, ["a", "b"])
     assert J.scrape_rollup(rows.where(F.lit(False))).first().successful_sites == 0
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from tidemark.operators import health as H
+
+    path = str(tmp_path / "health")
+    spark.createDataFrame([(1, "a", NOW, True, 2, None, None)], schemas.SITE_HEALTH).write.parquet(path)
+    plan = H.summary(spark.read.parquet(path), NOW.date())._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(scrape_date" in plan and "error_message" not in plan.split("ReadSchema")[1].split("\n")[0]
+    rows = table(spark, [{"id": k, "url": str(k), "discovered_date": d} for k, d in enumerate([dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 31, 23, 59), dt.datetime(2024, 2, 1), dt.datetime(2024, 1, 24), dt.datetime(2024, 1, 23, 23, 59), None])])
+    got = J.stats(rows, NOW.date()).first()
+    assert (got.total_jobs, got.jobs_today, got.jobs_week) == (6, 2, 4)

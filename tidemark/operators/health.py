@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import dates as D
 
 
 def summary(health: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
     """Per site over the last days (by date): attempts, successes, failures, postings, last attempt; most failures first."""
-    recent = health.where(F.to_date("scrape_date") >= F.date_sub(F.lit(as_of), days))
+    recent = health.where(D.from_day("scrape_date", as_of, days))
     rows = recent.groupBy("site_name").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if("success").alias("successes"),
@@ -39,7 +40,7 @@ def failing_sites(health: DataFrame, threshold: int = 3) -> DataFrame:
 
 def keep_recent(health: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Retention: rows from before as_of - days go."""
-    return health.where(~(F.to_date("scrape_date") < F.date_sub(F.lit(as_of), days)))
+    return health.where(~D.before_day("scrape_date", as_of, days))
 
 
 def append(health: DataFrame, rows: DataFrame) -> DataFrame:

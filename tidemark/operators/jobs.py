@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import dates as D
 from tidemark.functions import text as X
 
 TITLE_GATE = 10
@@ -33,23 +34,22 @@ def exists(jobs: DataFrame, urls: DataFrame) -> DataFrame:
 
 def stats(jobs: DataFrame, as_of: dt.date) -> DataFrame:
     """Total, found today, sites, found in the last seven days; one pass."""
-    day = F.to_date("discovered_date")
     return jobs.agg(
         F.count(F.lit(1)).alias("total_jobs"),
-        F.count_if(day == F.lit(as_of)).alias("jobs_today"),
+        F.count_if(D.on_day("discovered_date", as_of)).alias("jobs_today"),
         F.count_distinct("site_name").alias("sites"),
-        F.count_if(day >= F.date_sub(F.lit(as_of), 7)).alias("jobs_week"),
+        F.count_if(D.from_day("discovered_date", as_of, 7)).alias("jobs_week"),
     )
 
 
 def retain(jobs: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
     """Rows that were discovered before as_of - days go."""
-    return jobs.where(~(F.to_date("discovered_date") < F.date_sub(F.lit(as_of), days)))
+    return jobs.where(~D.before_day("discovered_date", as_of, days))
 
 
 def mark_stale(jobs: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Rows that aren't stale and were last seen before as_of - days become stale; a null mark stays."""
-    gone = (F.col("stale") == F.lit(False)) & F.col("last_seen_date").isNotNull() & (F.to_date("last_seen_date") < F.date_sub(F.lit(as_of), days))
+    gone = (F.col("stale") == F.lit(False)) & F.col("last_seen_date").isNotNull() & D.before_day("last_seen_date", as_of, days)
     return jobs.withColumn("stale", F.when(gone, True).otherwise(F.col("stale")))
 
 
@@ -95,7 +95,7 @@ def with_details(batch: DataFrame, details: DataFrame, per_site: int = 20) -> Da
 
 
 def recent_history(jobs: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
-    return jobs.where(F.to_date("discovered_date") >= F.date_sub(F.lit(as_of), days))
+    return jobs.where(D.from_day("discovered_date", as_of, days))
 
 
 def title_matches(batch: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30, scan: int | None = 500) -> DataFrame:
