@@ -105,3 +105,25 @@ def test_edge_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b")], "doc_id long, text string")
     assert T.score_documents(docs).count() == 2
     assert T.score_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_ngrams_of_rare_words_are_kept(spark):
+    """Words far below any share of the corpus, in n-grams that occur twice."""
+    texts = ["common words here " * 60_000, "quokka numbat bilby", "a quokka numbat bilby", "numbat quokka", "once only potoroo"]
+    texts = ["", *texts]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert train == texts
+    rows = T.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    model = Brute(texts, 3)
+    assert ("quokka", "numbat", "bilby") in model.grams[3] and ("bilby", None) in model.grams[2]
+    for r in rows:
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]), abs=6e-4 * r.n_tokens), r.doc_id
+
+
+def test_packed_grams():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, top, 500) for top in (1, 200, 70_000, 2**62)]
+    assert all((a == b).all() for a, b in zip(columns, T._unpacked(T._packed(columns)), strict=True))
+    keys = [rng.integers(-1, 4, 500) for _ in range(3)]
+    got = T._merged([*keys, np.ones(500, np.int64)])
+    assert Counter(zip(*(c.tolist() for c in keys), strict=True)) == {tuple(g): n for *g, n in zip(*(c.tolist() for c in got), strict=True)}

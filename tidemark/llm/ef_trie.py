@@ -9,12 +9,12 @@ successor of base + word between its two pointers.
 
 Probabilities are interpolated: p(w) = (c + 0.1) / (N + 0.1 (V + 1)), and above it absolute discounting,
 p(w | h) = max(c(hw) - D, 0) / c(h) + weight(h) p(w | h'), where weight(h) is what the kept followers leave. An n-gram
-is kept if each of its words makes up LEAST_SHARE[n] of the training tokens and it occurs LEAST_COUNT times. So the
-words in question are fewer than 1 / LEAST_SHARE at any size of corpus, and every task that counts n-grams has them.
+is kept if it occurs LEAST_COUNT times, at any size of corpus, whatever its words. Words that occur less often are in
+no such n-gram, so they are passed over.
 
-Every level is cut into shards by a hash of the context, whose followers are at most the words that occur often enough
-to be kept, so that each shard fits a task. Tasks write shards to the shared
-folder; scoring tasks memory-map them. Counts are combined in each task before they are shuffled.
+Counts are combined in each task, then packed and shuffled by a hash of the n-gram, and combined again. Every level is
+cut into shards by a hash of the context; a context's kept followers stay together and have to fit a task. Tasks write
+shards to the shared folder; counting and scoring tasks memory-map them.
 
 Null is the empty text: one end token. Rows are independent when scored; repeated training rows count again. A null
 doc_id is not held out. With no training rows every word is unknown. Only doc_id and text are read.
@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, map_shared, release, shared_dir, text_of, through_table, write_shared
+from ._common import arrow_map, bounded_batches, chunks_by_bytes, map_shared, release, shared_dir, text_of, through_table, write_shared
 from ._labels import held_out
 from .elias_fano import EliasFano
 
 FOLDS, HELD = 10, 0
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.75, 2
-#: Least share of the training tokens of every word of a kept n-gram.
-LEAST_SHARE = {2: 2e-5, 3: 1e-4}
+#: Least share of the training tokens of every word of a kept n-gram: none, so that all repeated n-grams are kept.
+LEAST_SHARE = {2: 0.0, 3: 0.0}
 SHARD_ROWS = 1 << 21
 _STEP = 1 / 4000
 _END = b"\n"
@@ -277,6 +277,33 @@ class Placed:
 # ---------------------------------------------------------------- building
 
 
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of longs."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = (h ^ c.view(np.uint64)) * _P
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h
+
+
+def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of longs in order of their hash, equal ones as one; the last column has their counts, which add up."""
+    h = _mixed(columns[:-1])
+    order = np.argsort(h)
+    for again in (False, True):
+        if again:
+            order = np.lexsort([*columns[:-1], h])
+        hashes, rows = h[order], [c[order] for c in columns]
+        new = np.any([np.diff(c) != 0 for c in rows[:-1]], axis=0)
+        if not np.any(new & (hashes[1:] == hashes[:-1])):  # else different rows share a hash
+            break
+    if not len(order):
+        return rows
+    at = np.flatnonzero(np.concatenate([[True], new]))
+    return [*(c[at] for c in rows[:-1]), np.add.reduceat(rows[-1], at)]
+
+
 class _Counter:
     """Counts of rows of longs, merged when they grow, to be sent once per task."""
 
@@ -294,21 +321,49 @@ class _Counter:
                 yield from self.flush()
 
     def _merge(self) -> None:
-        columns = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts]
-        order = np.lexsort(columns[:-1][::-1])
-        columns = [c[order] for c in columns]
-        if len(order):
-            new = np.concatenate([[True], np.any([np.diff(c) != 0 for c in columns[:-1]], axis=0)])
-            at = np.flatnonzero(new)
-            columns = [*(c[at] for c in columns[:-1]), np.add.reduceat(columns[-1], at)]
+        columns = _merged([np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts])
         self.parts, self.held = [[c] for c in columns], len(columns[0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        columns = [p[0] for p in self.parts]
-        for k in range(0, self.held, 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=[*(f"k{j}" for j in range(self.width)), "n"])
+        columns, held = [p[0] for p in self.parts], self.held
         self.parts, self.held = [[] for _ in self.parts], 0
+        yield from self._sent(columns, held)
+
+    def _sent(self, columns: list[np.ndarray], held: int) -> Iterator[pa.RecordBatch]:
+        for k in range(0, held, 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=[*(f"k{j}" for j in range(self.width)), "n"])
+
+
+class _GramCounter(_Counter):
+    """Counts of n-grams of word ids, sent as one packed piece for each shard of their hash."""
+
+    def __init__(self, width: int, bits: int, limit: int = 1_500_000):
+        super().__init__(width, limit)
+        self.bits = bits
+
+    def _sent(self, columns: list[np.ndarray], held: int) -> Iterator[pa.RecordBatch]:
+        edges = np.searchsorted((_mixed(columns[:-1]) >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1)).tolist()
+        pieces = ((s, _packed([c[a:b] for c in columns])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b)
+        yield from chunks_by_bytes(pieces, lambda x: len(x[1]), lambda x: pa.RecordBatch.from_arrays([pa.array([s for s, _ in x], pa.int64()), pa.array([d for _, d in x], pa.binary())], names=["shard", "grams"]), 4 << 20)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of longs (none negative) byte by byte, without the bytes that are zero in all rows."""
+    width = [-(-int(c.max()).bit_length() // 8) for c in columns]
+    planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, width, strict=True)]
+    return b"".join([struct.pack(f"<QB{len(width)}B", len(columns[0]), len(width), *width), *planes])
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    rows, columns = struct.unpack_from("<QB", data)
+    at, out = 9 + columns, []
+    for w in data[9 : 9 + columns]:
+        grid = np.zeros((rows, 8), np.uint8)
+        grid[:, :w] = np.frombuffer(data, np.uint8, rows * w, at).reshape(w, rows).T
+        out.append(grid.view("<i8").ravel())
+        at += rows * w
+    return out
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -378,51 +433,46 @@ def _build_words(counts: DataFrame, folder: str) -> tuple:
 
 
 def _least_counts(words: tuple) -> dict[int, int]:
-    return {n: max(1, int(np.ceil(share * words[3]))) for n, share in LEAST_SHARE.items()}
+    """The least count of a word of an n-gram that may be kept: no less than that of the n-gram."""
+    return {n: max(LEAST_COUNT, int(np.ceil(share * words[3]))) for n, share in LEAST_SHARE.items()}
 
 
-def _frequent(counts: DataFrame, words: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (in order), ids and counts of the words frequent enough for bigrams, fewer than 1 / LEAST_SHARE[2]."""
-    rows = counts.where(F.col("n") >= _least_counts(words)[2]).select("k0").collect()
-    hashes = np.sort(np.array([r.k0 for r in rows], np.int64).view(np.uint64))
-    return (hashes, *Words(*words[:2], list(words[2]), *words[3:]).find(hashes))
-
-
-def _gram_counts(texts: DataFrame, order: int, words: tuple, frequent: tuple) -> DataFrame:
+def _gram_counts(texts: DataFrame, order: int, words: tuple) -> DataFrame:
     """k0, k1, k2 (word ids; k2 is -1 for bigrams) and n of the kept n-grams, from one pass over the texts."""
-    least = _least_counts(words)
-    hashes, ids, counts = frequent
+    least, bits = _least_counts(words), _bits((order - 1) * words[3])
 
     def run(batches):
-        counter = _Counter(3)
+        table = _opened(words[0], words, ()).words
+        counters = {n: _GramCounter(n, bits) for n in range(2, order + 1)}
         for batch in batches:
             tokens = Tokens(batch.column(0).to_pylist())
-            if not len(hashes):
-                continue
-            at = np.minimum(np.searchsorted(hashes, tokens.hashes), len(hashes) - 1)
-            known = hashes[at] == tokens.hashes
-            id_of, count_of = np.where(known, ids[at], -1), np.where(known, counts[at], 0)[tokens.index]
-            width = len(tokens.hashes)
-            for n in range(2, order + 1):
-                often = count_of >= least[n]
-                run_of = often.copy()
+            ids, counts = table.find(tokens.hashes)
+            for n, counter in counters.items():
+                known = np.where(counts >= least[n], ids, -1)[tokens.index]
+                run_of = known >= 0
                 for back in range(1, n):
-                    run_of[back:] &= often[:-back] & (tokens.text[back:] == tokens.text[:-back])
+                    run_of[back:] &= (known[:-back] >= 0) & (tokens.text[back:] == tokens.text[:-back])
                     run_of[:back] = False
                 place = np.flatnonzero(run_of)
-                keys, which = _encoded(tokens.index[place - 1] * width + tokens.index[place])
-                if n == 2:
-                    columns = [id_of[keys // width], id_of[keys % width], np.full(len(keys), -1)]
-                else:
-                    pairs, pair = _encoded(tokens.index[place - 2] * width + tokens.index[place - 1])
-                    keys, which = _encoded(pair * width + tokens.index[place])
-                    before = pairs[keys // width]
-                    columns = [id_of[before // width], id_of[before % width], id_of[keys % width]]
-                yield from counter.add(columns, np.bincount(which, minlength=len(keys)))
-        yield from counter.flush()
+                yield from counter.add([known[place - back] for back in range(n - 1, -1, -1)], np.ones(len(place), np.int64))
+        for counter in counters.values():
+            yield from counter.flush()
+
+    def combined(batches):
+        for _, (pieces,) in _groups(batches, ["grams"]):
+            for n in range(2, order + 1):
+                own = [_unpacked(x) for x in pieces if x[8] == n + 1]
+                if not own:
+                    continue
+                columns = _merged([np.concatenate(c) for c in zip(*own, strict=True)])
+                kept = columns[-1] >= LEAST_COUNT
+                columns = [c[kept] for c in columns]
+                columns[n:n] = [np.full(len(columns[0]), -1)] * (3 - n)
+                for k in range(0, len(columns[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=["k0", "k1", "k2", "n"])
 
-    found = texts.mapInArrow(run, "k0 long, k1 long, k2 long, n long")
-    return found.groupBy("k0", "k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    found = texts.mapInArrow(run, "shard long, grams binary")
+    return _by_shard(found, 1 << bits).mapInArrow(combined, "k0 long, k1 long, k2 long, n long")
 
 
 def _context_count(trie: Trie, order: int, context: np.ndarray) -> np.ndarray:
@@ -469,7 +519,7 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[tuple, tuple]:
     folder = shared_dir(spark, "trie")
     counts = through_table(_word_counts(texts), "word-counts")
     words = _build_words(counts, folder)
-    grams = through_table(_gram_counts(texts, order, words, _frequent(counts, words)), "grams")
+    grams = through_table(_gram_counts(texts, order, words), "grams")
     levels: tuple = ()
     for n in range(2, order + 1):
         levels += (_build_level(grams, n, words, levels, folder),)
