@@ -71,6 +71,23 @@ def test_edge_rows(spark):
     assert S.changed_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Spans of one row never cut another; columns named like the operator's own pass through."""
+    passage = " ".join(f"Sentence number {k} of the passage has some words." for k in range(9))
+    other = " ".join(f"Quite another text, part {k}, stands in this row." for k in range(40))
+    names = "doc_id long, text string, _key int, _spans string, spans int, row string, twin int, first int"
+    rows = [(1, passage), (7, passage), (7, other), (None, "Own words. " + passage), (None, other + " End."), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, "s", 2, "r", 3, 4) for i, t in rows], names)
+    out = S.remove_repeats(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    # the rows without id come first: theirs stay, and what they hold goes from the others
+    assert got == sorted([(1, ""), (7, ""), (7, ""), (0, "Own words. " + passage), (0, other + " End."), (0, "")])
+    alone = spark.createDataFrame([(1, passage), (7, passage), (7, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in S.remove_repeats(alone).collect()) == sorted([(1, passage), (7, ""), (7, other)])
+    assert [(r.doc_id, r.first_doc_ids, r.removed_chars) for r in S.changed_documents(alone).collect()] == [(7, [1], len(passage))]
+
+
 def test_passages_of_over_fifty_words_are_caught(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

@@ -6,9 +6,10 @@ one, the shortest run that has three sentences and 12 words, or two and 30, or o
 repeated passage of over 50 words lies in some hashed run inside of it. Runs are joined over all documents by hash; of
 equal runs the first (lowest doc_id, then place in the text) stays, and sentences covered by any other go.
 
-Null doc_ids order first; rows that share an id count as one document. Null texts are empty and have no runs. Equal
-texts in different rows: the later one's runs are all repeated. An empty table gives an empty result. Only doc_id and
-text are read, and other columns are passed through by remove_repeats().
+A document is told by its id and its text's hash. Null doc_ids order first; rows that share an id but not the text are
+different documents, in order of that hash, and rows equal in both are one. Null texts are empty and have no runs.
+Equal texts under different ids: the later one's runs are all repeated. An empty table gives an empty result. Only
+doc_id and text are read; other columns, of any name, are passed through by remove_repeats().
 """
 
 from __future__ import annotations
@@ -89,60 +90,68 @@ def run_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed.view(np.int64), begin[first], begin[end]
 
 
+def _identity() -> list:
+    """doc_id and twin: what tells one document from another."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("twin")]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(*_identity(), text_of().alias("text"))
+
+
 def all_runs(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, first and past (characters) of every hashed run of every document."""
+    """hash, doc_id, twin and first (character) of every hashed run of every document."""
     bounded_batches(docs.sparkSession)
 
     def run(batch):
-        parts = [(i, *run_hashes(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        ids = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-        columns = [np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(ids), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))], names=["hash", "doc_id", "first", "past"])
+        parts = [run_hashes(t) for t in batch.column(2).to_pylist()]
+        size = [len(p[0]) for p in parts]
+        ids = [np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1)]
+        columns = [np.concatenate([p[0] for p in parts]), *ids, np.concatenate([p[1] for p in parts]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "doc_id", "twin", "first"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return arrow_map(own, run, "hash long, doc_id long, first int, past int")
+    return arrow_map(_identified(docs), run, "hash long, doc_id long, twin long, first int")
 
 
 def _marked_runs(docs: DataFrame, hot: list) -> DataFrame:
     """As all_runs() without the hot runs; those of a document that have to go are carried by one row of it."""
     bounded_batches(docs.sparkSession)
-    hot = sorted((r["hash"], r["first_doc_id"], r["first_at"]) for r in hot)
-    known = [np.array([r[k] for r in hot], np.int64) for k in range(3)]
+    hot = sorted((r["hash"], r["first_doc_id"], r["first_twin"], r["first_at"]) for r in hot)
+    known = [np.array([r[k] for r in hot], np.int64) for k in range(4)]
 
     def run(batch):
         rows: list[tuple] = []  # of each document: its runs that aren't hot
         carried: list[tuple] = []  # of a document with hot runs to remove: those
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, twin, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             code, begin, end = run_hashes(text)
             if len(hot) and len(code):
                 at = np.minimum(np.searchsorted(known[0], code), len(hot) - 1)
                 common = known[0][at] == code
-                gone = common & ((known[1][at] != i) | (known[2][at] != begin))
+                gone = common & ((known[1][at] != i) | (known[2][at] != twin) | (known[3][at] != begin))
                 if gone.any():
-                    carried.append((i, begin[gone], end[gone], np.unique(known[1][at[gone]])))
+                    carried.append((i, begin[gone], end[gone], np.unique(known[1][at[gone]]), twin))
                 code, begin, end = code[~common], begin[~common], end[~common]
-            rows.append((i, code, begin, end))
+            rows.append((i, code, begin, end, twin))
         count = [len(r[1]) for r in rows]
-        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(p, kind) for p in parts)])
         plain = np.arange(sum(count) + len(carried) + 1) < sum(count)  # rows without lists: null
         lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(sum(count) + 1, np.int32), np.cumsum(sizes, dtype=np.int32)]), mask=plain), values)
         none = np.zeros(len(carried), np.int32)
         spans = pa.array(flat((c[1].astype(np.int64) << 32 | c[2] for c in carried), np.int64))
         columns = [
             pa.array(flat([*(r[1] for r in rows), none + _CARRIED], np.int64)),
-            pa.array(flat([np.repeat([r[0] for r in rows], count), [c[0] for c in carried]], np.int64)),
+            *(pa.array(flat([np.repeat(np.array([r[k] for r in rows], np.int64), count), [c[k] for c in carried]], np.int64)) for k in (0, 4)),
             *(pa.array(flat([*(r[k] for r in rows), none], np.int32)) for k in (2, 3)),
             lists([len(c[1]) for c in carried], spans),
             lists([len(c[3]) for c in carried], pa.array(flat((c[3] for c in carried), np.int64))),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "first", "past", "spans", "firsts"])
+        return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "twin", "first", "past", "spans", "firsts"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of().alias("text"))
-    return arrow_map(own, run, "hash long, doc_id long, first int, past int, spans array<long>, firsts array<long>")
+    return arrow_map(_identified(docs), run, "hash long, doc_id long, twin long, first int, past int, spans array<long>, firsts array<long>")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row for each document with sentences to remove: doc_id (null as the lowest long), spans (start and end
+    """One row for each document with sentences to remove: doc_id (null as the lowest long), twin, spans (start and end
     characters of runs whose first occurrence is elsewhere) and first_doc_ids, the documents that hold those.
 
     Counts are combined before they are shuffled. Hot runs, of which there are HOT_RUNS at most, are looked up where
@@ -151,25 +160,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     firsts = (
         all_runs(docs)
         .groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "twin", "first")).alias("at"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("hash", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("first_at"), "n")
+        .select("hash", F.col("at.doc_id").alias("first_doc_id"), F.col("at.twin").alias("first_twin"), F.col("at.first").alias("first_at"), "n")
     )
     firsts = through_table(firsts, "repeated-runs")
     many = max(1, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT_RUNS)
-    runs = _marked_runs(docs, firsts.where(F.col("n") > many).select("hash", "first_doc_id", "first_at").collect())
-    carried = docs.sparkSession.range(SALTS).select(F.lit(_CARRIED).cast("long").alias("hash"), F.lit(None).cast("long").alias("first_doc_id"), F.lit(-1).alias("first_at"), F.col("id").cast("int").alias("_salt"))
-    known = firsts.where(F.col("n") <= many).select("hash", "first_doc_id", "first_at", F.lit(0).alias("_salt")).unionByName(carried)
+    runs = _marked_runs(docs, firsts.where(F.col("n") > many).select("hash", "first_doc_id", "first_twin", "first_at").collect())
+    carried = docs.sparkSession.range(SALTS).select(F.lit(_CARRIED).cast("long").alias("hash"), *(F.lit(None).cast("long").alias(c) for c in ("first_doc_id", "first_twin")), F.lit(-1).alias("first_at"), F.col("id").cast("int").alias("_salt"))
+    known = firsts.where(F.col("n") <= many).select("hash", "first_doc_id", "first_twin", "first_at", F.lit(0).alias("_salt")).unionByName(carried)
     carries = F.col("spans").isNotNull()
-    salt = F.when(carries, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
-    found = runs.withColumn("_salt", salt).join(known, ["hash", "_salt"]).where("spans is not null or doc_id != first_doc_id or first != first_at")
+    salt = F.when(carries, F.pmod(F.xxhash64("doc_id", "twin"), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = runs.withColumn("_salt", salt).join(known, ["hash", "_salt"]).where("spans is not null or doc_id != first_doc_id or twin != first_twin or first != first_at")
     # a span as one number, start before end, so that equal ones are told by a hash
     one = F.shiftleft(F.col("first").cast("long"), 32) + F.col("past")
-    each = found.select("doc_id", F.when(carries, F.col("spans")).otherwise(F.array(one)).alias("spans"), F.when(carries, F.col("firsts")).otherwise(F.array("first_doc_id")).alias("firsts"))
+    each = found.select("doc_id", "twin", F.when(carries, F.col("spans")).otherwise(F.array(one)).alias("spans"), F.when(carries, F.col("firsts")).otherwise(F.array("first_doc_id")).alias("firsts"))
     flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
-    rows = each.groupBy("doc_id").agg(flat("spans").alias("spans"), flat("firsts").alias("first_doc_ids"))
+    rows = each.groupBy("doc_id", "twin").agg(flat("spans").alias("spans"), flat("firsts").alias("first_doc_ids"))
     span = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("past"))
-    return rows.select("doc_id", F.transform("spans", span).alias("spans"), "first_doc_ids")
+    return rows.select("doc_id", "twin", F.transform("spans", span).alias("spans"), "first_doc_ids")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -183,42 +192,40 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _with_spans(docs: DataFrame, how: str) -> DataFrame:
-    """Document rows with _spans and _firsts."""
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"), F.col("first_doc_ids").alias("_firsts"))
-    keyed = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID))
-    return docs.join(spans, keyed == F.col("_key"), how).drop("_key")
+    """The document rows, each as one column so that no name can clash, with spans and first_doc_ids."""
+    packed = docs.select(F.struct("*").alias("row"), *_identity())
+    return packed.join(repeated_spans(docs), ["doc_id", "twin"], how).select("row", "spans", "first_doc_ids")
 
 
-def _cut_text(df: DataFrame) -> DataFrame:
-    """The column `text` cut by `_spans`, where there are any."""
-    bounded_batches(df.sparkSession)
-    names = df.columns
-    text, spans = names.index("text"), names.index("_spans")
-    schema = df.schema
-
-    def run(batch):
-        own = [t if not s else cut(t or "", [(x["first"], x["past"]) for x in s]) for t, s in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
-        columns = list(batch.columns)
-        columns[text] = pa.array(own, batch.schema.field(text).type)
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    return arrow_map(df, run, schema)
+def _left_of(text: str | None, spans: list | None) -> str | None:
+    return text if not spans else cut(text or "", [(x["first"], x["past"]) for x in spans])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with repeated passages removed from their texts; a text may become empty."""
-    return _cut_text(_with_spans(docs, "left")).select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+
+    def run(batch):
+        columns = batch.column(0).flatten()
+        own = [_left_of(t, s) for t, s in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        columns[at] = pa.array(own, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return arrow_map(_with_spans(docs, "left").select("row", "spans"), run, schema)
 
 
 def changed_documents(docs: DataFrame) -> DataFrame:
     """One row for each document that loses sentences: doc_id, first_doc_ids, spans, n_spans, removed_chars, text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = _with_spans(own, "inner").withColumn("_before", F.char_length("text"))
-    return _cut_text(found).select(
-        "doc_id",
-        F.col("_firsts").alias("first_doc_ids"),
-        F.col("_spans").alias("spans"),
-        F.size("_spans").cast("long").alias("n_spans"),
-        (F.col("_before") - F.char_length("text")).cast("long").alias("removed_chars"),
-        "text",
-    )
+    found = _with_spans(own, "inner")
+
+    def run(batch):
+        ids, texts = batch.column(0).flatten()
+        before = texts.to_pylist()
+        after = [_left_of(t, s) for t, s in zip(before, batch.column(1).to_pylist(), strict=True)]
+        removed = pa.array([len(a) - len(b) for a, b in zip(before, after, strict=True)], pa.int64())
+        return pa.RecordBatch.from_arrays([ids, batch.column(2), batch.column(1), pa.array(list(map(len, batch.column(1).to_pylist())), pa.int64()), removed, pa.array(after, texts.type)], names=["doc_id", "first_doc_ids", "spans", "n_spans", "removed_chars", "text"])
+
+    return arrow_map(found, run, "doc_id long, first_doc_ids array<long>, spans array<struct<first: int, past: int>>, n_spans long, removed_chars long, text string")
