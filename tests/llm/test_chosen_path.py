@@ -82,22 +82,34 @@ def test_same_step_with_the_probability_of_the_similarity():
     assert abs(meet / total - 0.8**3) < 0.03
 
 
-def test_classes_of_long_chains(spark):
-    ids = list(range(200))
-    random.Random(1).shuffle(ids)
-    links = spark.createDataFrame([*zip(ids[:120], ids[1:120], strict=False), (ids[150], ids[151]), (ids[3], ids[3])], "a long, b long")
-    got = {r.id: r["class"] for r in C.classes(links).collect()}
-    assert got == {i: min(ids[:120]) for i in ids[:120]} | {i: min(ids[150:152]) for i in ids[150:152]}
+def test_versions_of_one_page(spark):
+    """Each version changes a little, so that only neighbours link: one class, however long the chain."""
+    rng = random.Random(2)
+    words, docs = [f"v{k}" for k in range(120)], []
+    for i in range(60):
+        for _ in range(2):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in C.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and {c for _, c in got.values()} == {0}
 
 
 def test_edge_rows(spark):
-    text = "one two three four five six"
-    docs = spark.createDataFrame([(None, text, 1), (5, text, 1), (5, text, 1), (5, "other words are here now", 1), (7, "other words are here now", 2), (8, "z " * 100_000, 1)], "doc_id long, text string, n int")
-    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in C.near_duplicate_classes(docs).collect()}
-    assert rows == {(None, 3, 5, False), (5, 3, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 8, True)}
+    text, other = "one two three four five six", "other words are here now"
+    docs = spark.createDataFrame([(None, text, 1), (5, text, 1), (5, text, 1), (5, other, 1), (7, other, 2), (8, "z " * 100_000, 1), (9, None, 1), (9, " \t", 1), (None, "only here, without an id", 3)], "doc_id long, text string, n int")
+    rows = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in C.near_duplicate_classes(docs).collect()), key=str)
+    assert rows == sorted([(None, 3, 5, False), (5, 3, 5, True), (5, 3, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 8, True), (9, 0, 9, True), (9, 0, 9, True), (None, 2, None, True)], key=str)
+    kept = C.keep_one_of_each(docs)
+    assert kept.dtypes == docs.dtypes and sorted(((r.doc_id or 0, r.text and r.text[:5]) for r in kept.collect()), key=str) == sorted([(5, "one t"), (5, "other"), (8, "z z z"), (9, None), (9, " \t"), (0, "only ")], key=str)
+    assert C.near_duplicate_classes(docs.limit(0)).count() == 0 and C.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_rows_with_different_texts_stay_whatever_their_ids(spark):
+    names = "doc_id long, text string, _row int, _kept string, row int, twin string, wordless int, `a.b` int"
+    texts = ["alpha beta gamma delta epsilon", "some entirely different words here", "a third text of its own kind", "and the fourth one is unlike them"]
+    docs = spark.createDataFrame([(i, t, 1, "k", 2, "t", 3, 4) for i, t in zip((None, None, 3, 3), texts, strict=True)], names)
     kept = C.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 8]
-    assert C.near_duplicate_classes(docs.limit(0)).count() == 0
+    assert kept.dtypes == docs.dtypes and sorted(r.text for r in kept.collect()) == sorted(texts)
 
 
 def test_query_against_its_sql(spark):

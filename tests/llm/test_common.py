@@ -14,7 +14,7 @@ def test_salted_join_equals_a_join(spark):
     rows = [(rng.choice((1, 1, 1, 1, 2, 3, 4, None, 9)), i) for i in range(400)]
     left = spark.createDataFrame(rows, "k int, v int")
     keyed = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m")).where("k != 9")
-    got = sorted(map(tuple, C.salted_join(left, C.through_table(keyed, "keyed"), "k", "n", hot_keys=3, salts=4).select("k", "v", "n", "m").collect()))
+    got = sorted(map(tuple, C.salted_join(left, C.through_table(keyed, "keyed"), "k", "n", hot_keys=3).select("k", "v", "n", "m").collect()))
     assert got == sorted(map(tuple, left.join(keyed, "k").select("k", "v", "n", "m").collect()))
     empty = C.through_table(keyed.limit(0), "keyed")
     assert C.salted_join(left, empty, "k", "n").count() == 0

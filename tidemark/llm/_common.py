@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import drop_table, salted_join, shared_dir, through_table
+
+__all__ = ["arrow_map", "bounded_batches", "chunks_by_bytes", "drop_table", "hold", "local_path", "map_shared", "release", "salted_join", "shared_dir", "table", "text_of", "through_table", "write_shared"]
+
 #: Rows of one Arrow batch that a Python worker holds; documents are a few KB each.
 BATCH_ROWS = 1000
-#: Stands in for the shared folder where the session names none.
-_own: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,54 +32,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, the one place that driver and executors share.
-
-    Only where that setting is absent (tests, local runs) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = checkpoint.get() if checkpoint.isDefined() else None
-    if base is None:
-        global _own
-        if _own is None:
-            _own = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, _own, ignore_errors=True)
-        base = f"file://{_own}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def through_table(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.shared_path = path
-    return table
-
-
-def drop_table(table: DataFrame) -> None:
-    """Remove a table of through_table() that nothing reads any more."""
-    context = table.sparkSession.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(table.shared_path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot_keys: int = 5000, salts: int = 64) -> DataFrame:
-    """Join many rows to one row a key, where `count` tells how many of the rows have that key.
-
-    A key with more than 1 / hot_keys of all counted rows is hot; there are at most hot_keys of them, so their set is
-    broadcast and their rows are spread over `salts` copies of the key's row. `keyed` should be a written table.
-    """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
-    hot = keyed.where(F.col(count) > max(1, total // hot_keys)).select(key, F.lit(True).alias("_hot"))
-    spread = keyed.withColumn("_salt", F.explode(F.when(F.col(count) > max(1, total // hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    others = [c for c in rows.columns if c != key]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0)
-    return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot").join(spread, [key, "_salt"]).drop("_salt")
-
-
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path; None for any other scheme."""
     parts = urlparse(uri)

@@ -11,10 +11,13 @@ still too large is compared block by block. Every link is confirmed on full sets
 0.8 is missed with probability below 1e-6, and a class only if it hangs on missed pairs.
 
 Equal sets are one vertex, so copies cost nothing after the first pass. Hot keys are spread over salted copies, links
-and classes stay in tables of the shared folder, and classes are found by contraction of the link graph.
+and classes stay in tables of the shared folder, and classes are found by contraction of the link graph in rounds that
+grow with the logarithm of its size.
 
-A null doc_id counts as the largest id and is returned as null; rows that share an id are one document, each with its
-own n_shingles. Null texts have no shingles and no links. An empty table gives an empty result.
+A row is judged by its own text: rows that share an id, or have none, are linked if their sets are, and by nothing
+else. A null doc_id counts as the largest id; a class of such rows only has the null component_id, and all of them are
+`kept` in the digest. Null texts, and texts without words, have no shingles and no links. An empty table gives an empty
+result. Only doc_id and text are read; keep_one_of_each() passes other columns, of any name, through.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, drop_table, release, salted_join, text_of, through_table
+from ..operators.graph import components
+from ._common import arrow_map, bounded_batches, release, salted_join, text_of, through_table
 
 SHINGLE_WORDS, TREES, BASE, BRANCHES, LEAF = 4, 20, 3, 2, 16
 #: Shingles of the sets that are compared in one task at a time.
@@ -117,18 +121,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LINK_DENOMINATOR * both >= LINK_NUMERATOR * (len(a) + len(b) - both)
 
 
+def _identity() -> list:
+    """doc_id (null as the largest) and twin, the text's hash: rows equal in both are copies in every respect."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("twin")]
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, code (of the set; of the id where it is empty) and the base keys of every row."""
+    """doc_id, twin, n_shingles, code (of the set; null where it is empty) and the base keys of every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batch):
-        ids = batch.column(0).to_pylist()
-        sets = shingle_sets(batch.column(1).to_pylist())
-        code = [set_code(s) if len(s) else b"none" + i.to_bytes(8, "big", signed=True) for i, s in zip(ids, sets, strict=True)]
+        sets = shingle_sets(batch.column(2).to_pylist())
+        code = [set_code(s) if len(s) else None for s in sets]
         keys = [base_keys(s).view(np.int64) if len(s) else [] for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "code", "keys"])
+        columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "twin", "n_shingles", "code", "keys"])
 
-    return arrow_map(docs, run, "doc_id long, n_shingles long, code binary, keys array<long>")
+    return arrow_map(docs, run, "doc_id long, twin long, n_shingles long, code binary, keys array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,27 +159,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(sides.select("a", "b", "left", "right"), run, "a long, b long")
 
 
-def classes(links: DataFrame) -> DataFrame:
-    """id and class (the least id reachable) of every vertex of the links (a, b).
-
-    Each round maps a vertex to the least of itself and its neighbours, and the links with it, until none is left.
-    Every round is a written table.
-    """
-    edges = through_table(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    label = through_table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("class", F.col("id")), "classes")
-    while not edges.isEmpty():
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = through_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "from"), "steps")
-        old = edges, label
-        label = through_table(label.join(step, label["class"] == step["from"], "left").select("id", F.coalesce("to", "class").alias("class")), "classes")
-        ends = [step.select(F.col("from").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b")]
-        moved = edges.join(ends[0], "a").join(ends[1], "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        edges = through_table(moved.where("a != b").distinct(), "links")
-        for done in (*old, step):
-            drop_table(done)
-    return label
-
-
 def _crossing(nodes: DataFrame, label: DataFrame) -> DataFrame:
     """Members (key, id, size) of nodes that hold several classes, a table with class and the node's n and weight."""
     own = nodes.join(label.withColumnRenamed("id", "_v"), F.col("id") == F.col("_v"), "left").select("key", "id", "size", F.coalesce("class", "id").alias("class"))
@@ -263,29 +251,30 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_of().alias("text"))
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id (null as the largest), twin, n_shingles and class of every row: the class is a long that rows share if
+    their sets are equal or linked over others; it is null where the set is empty. `first_id` and `first_twin` name the
+    first row of the class."""
+    own = docs.select(*_identity(), text_of().alias("text"))
     rows = through_table(shingled(own), "shingled")
-    sets = through_table(rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "sets")
-
-    # one vertex for each set, its least document; nodes of one vertex are left out
-    firsts = rows.join(sets.select("code", F.col("rep").alias("doc_id")), ["code", "doc_id"])
-    nodes = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    nodes = through_table(nodes.distinct(), "nodes")
+    each = rows.where("code is not null").groupBy("code").agg(F.min(F.struct("doc_id", "twin")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # one vertex for each set, numbered as the table is written
+    sets = through_table(each.select(F.monotonically_increasing_id().alias("id"), "code", "first", "n"), "sets")
+
+    # nodes of one vertex are left out
+    vertex = sets.select("id", "code", F.col("first.doc_id").alias("doc_id"), F.col("first.twin").alias("twin"))
+    firsts = rows.join(vertex, ["code", "doc_id", "twin"])
+    nodes = through_table(firsts.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key")).distinct(), "nodes")
     sizes = through_table(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1"), "node-sizes")
     nodes = through_table(salted_join(nodes, sizes, "key", "n"), "shared-nodes")
-    texts = own.withColumnRenamed("doc_id", "id").join(nodes.select("id").distinct(), "id")
-    if_repeated = Window.partitionBy("id").orderBy("text")
-    texts = through_table(texts.withColumn("_k", F.row_number().over(if_repeated)).where("_k = 1").drop("_k"), "texts")
-
-    # rows of one id may have several sets: their vertices are linked
-    twice = rows.groupBy("doc_id").agg(F.min("code").alias("x"), F.max("code").alias("y")).where("x != y").select("doc_id")
-    same = rows.join(twice, "doc_id", "left_semi").join(sets.select("code", "rep"), "code").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    wanted = vertex.join(nodes.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "twin")
+    once = Window.partitionBy("id").orderBy("doc_id")
+    texts = own.join(wanted, ["doc_id", "twin"]).withColumn("_k", F.row_number().over(once)).where("_k = 1").select("id", "text")
+    texts = through_table(texts, "texts")
 
     star = through_table(nodes.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    links = through_table(_confirmed(star, texts).unionAll(same), "confirmed")
-    label = classes(links)
+    links = through_table(_confirmed(star, texts), "confirmed")
+    label = components(links)
 
     members = _crossing(nodes.select("key", "id", "size"), label)
     heavy = (F.col("n") > LEAF) & (F.col("weight") > NODE_SHINGLES)
@@ -298,12 +287,23 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         groups = groups.unionAll(below.where((F.col("n") > LEAF) & ~heavy).select("key", "id", "class")).unionAll(_blocks(below.where(heavy)))
     found = _confirmed(through_table(pairs.distinct(), "small-pairs"), texts).unionAll(_compared(groups, texts))
     links = through_table(links.unionAll(found), "confirmed")
-    label = classes(links)
+    label = components(links)
+
+    # the first row of each class of several sets; other sets are classes of their own
+    joined = through_table(sets.join(label, "id").select("class", "first", "id"), "joined-sets")
+    lead = through_table(joined.groupBy("class").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
+    led = salted_join(joined.select("class", "id"), lead, "class", "n").select("id", "class", "lead")
+    named = sets.join(led, "id", "left").select("code", "n", F.coalesce("class", "id").alias("class"), F.coalesce("lead", "first").alias("lead"))
+    worded = salted_join(rows.where("code is not null").select("doc_id", "twin", "n_shingles", "code"), through_table(named, "named-sets"), "code", "n")
+    out = worded.select("doc_id", "twin", "n_shingles", "class", F.col("lead.doc_id").alias("first_id"), F.col("lead.twin").alias("first_twin"))
+    wordless = rows.where("code is null").select("doc_id", "twin", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("first_id"), F.col("twin").alias("first_twin"))
+    return out.unionAll(wordless)
 
-    named = through_table(sets.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("code", F.coalesce("class", "rep").alias("component_id"), "n"), "named-sets")
-    found = salted_join(rows.select("doc_id", "n_shingles", "code"), named, "code", "n")
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
     back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return found.select(back("doc_id").alias("doc_id"), "n_shingles", back("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return classified(docs).select(back("doc_id").alias("doc_id"), "n_shingles", back("first_id").alias("component_id"), (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 def _leaves(branching: DataFrame, texts: DataFrame) -> DataFrame:
@@ -324,11 +324,15 @@ def _leaves(branching: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of the first document of each class; of rows that share an id one stays."""
-    found = near_duplicate_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_kept")).distinct()
-    keyed = docs.withColumn("_kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    once = Window.partitionBy("_kept").orderBy("text")
-    return keyed.join(found, "_kept", "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+    """The rows of docs, all columns, without those that are linked with or equal to an earlier one: one row of each
+    class stays, that of lowest doc_id (null last, then by the text's hash), and every row without words."""
+    first = classified(docs).where("class is not null and doc_id = first_id and twin = first_twin").select("doc_id", "twin").distinct()
+    packed = docs.select(F.struct("*").alias("row"), *_identity(), F.trim(F.regexp_replace(text_of(), r"[\x09-\x0D]", " ")) == "")
+    row, doc_id, twin, wordless = packed.columns
+    packed = packed.withColumnRenamed(wordless, "wordless")
+    once = Window.partitionBy("doc_id", "twin").orderBy("wordless")
+    worded = packed.where("not wordless").join(first, ["doc_id", "twin"], "left_semi").withColumn("_k", F.row_number().over(once)).where("_k = 1")
+    return worded.select("row").unionAll(packed.where("wordless").select("row")).select("row.*")
 
 
 #: The same rows by a join of all shingles and a recursive walk over the links.
