@@ -2,19 +2,19 @@
 
 Words are the ASCII-lower-case stretches without white space, and every text ends with one end token. Level 1 holds
 the words' 64-bit hashes in order, with their exact counts as a monotone running sum. A level n above it holds, for
-each context (a node of level n - 1), its following words: context ids, monotone pointers to the first follower, and
-the followers' ids made monotone over all contexts by a running base, all Elias-Fano coded; plus each node's smoothed
-log10 probability and each context's back-off weight, quantised to 16 bits. Queries find the context, then the
-successor of base + word between its two pointers.
+each context (a node of level n - 1, named by its place), a monotone pointer to its first following word, and the
+followers' ids made monotone over all contexts, both Elias-Fano coded; the nodes' counts as a running sum; and each
+node's smoothed log10 probability and each context's back-off weight, quantised to 16 bits. Queries take a context's
+two pointers, then search the successor of the word between them, relative to the context.
 
 Probabilities are interpolated: p(w) = (c + 0.1) / (N + 0.1 (V + 1)), and above it absolute discounting,
 p(w | h) = max(c(hw) - D, 0) / c(h) + weight(h) p(w | h'), where weight(h) is what the kept followers leave. An n-gram
-is kept if it occurs LEAST_COUNT times, at any size of corpus, whatever its words. Words that occur less often are in
-no such n-gram, so they are passed over.
+is kept if it occurs LEAST_COUNT times, at any size of corpus, whatever its words. So the n-gram without its first or
+its last word is kept too, and a word that occurs less often is in none. The order is a parameter, at least 2.
 
 Counts are combined in each task, then packed and shuffled by a hash of the n-gram, and combined again. Every level is
-cut into shards by a hash of the context; a context's kept followers stay together and have to fit a task. Tasks write
-shards to the shared folder; counting and scoring tasks memory-map them.
+cut into shards by ranges of contexts that hold about equal numbers of n-grams; a context's kept followers stay together
+and have to fit a task. Tasks write shards to the shared folder; counting and scoring tasks memory-map them.
 
 Null is the empty text: one end token. Rows are independent when scored; repeated training rows count again. A null
 doc_id is not held out. With no training rows every word is unknown. Only doc_id and text are read.
@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,7 @@ from .elias_fano import EliasFano
 
 FOLDS, HELD = 10, 0
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.75, 2
-#: Least share of the training tokens of every word of a kept n-gram: none, so that all repeated n-grams are kept.
-LEAST_SHARE = {2: 0.0, 3: 0.0}
-SHARD_ROWS = 1 << 21
+SHARD_ROWS = 1 << 20
 _STEP = 1 / 4000
 _END = b"\n"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -51,13 +50,6 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / _STEP), 0, 65535).astype(np.uint16)
 
 
-def _shard(context: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = context.astype(np.uint64) * _P
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _bits(rows: int) -> int:
     """log2 of the number of shards, at least two shards."""
     return max(1, (max(1, rows - 1) // SHARD_ROWS).bit_length())
@@ -109,7 +101,8 @@ class Words:
             got = part.find(hashes[own] & np.uint64((1 << (64 - self.bits)) - 1))
             hit = got >= 0
             ids[own[hit]] = got[hit] + self.starts[s]
-            counts[own[hit]] = (sums.get(got[hit] + 1) - sums.get(got[hit])).astype(np.int64)
+            before, after = sums.pair(got[hit])
+            counts[own[hit]] = after - before
         return ids, counts
 
     def count(self, ids: np.ndarray) -> np.ndarray:
@@ -117,9 +110,8 @@ class Words:
         shard = np.searchsorted(self.starts, ids, "right") - 1
         for s in np.unique(shard).tolist():
             own = np.flatnonzero(shard == s)
-            at = ids[own] - self.starts[s]
-            sums = self._part(s)[1]
-            out[own] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
+            before, after = self._part(s)[1].pair(ids[own] - self.starts[s])
+            out[own] = after - before
         return out
 
     def log10(self, counts: np.ndarray) -> np.ndarray:
@@ -127,72 +119,65 @@ class Words:
 
 
 class Level:
-    """Level n over mapped shards: (context, word) -> node, with probability, count, and the contexts' weights."""
-
-    def __init__(self, folder: str, order: int, bits: int, starts: list[int]):
-        self.folder, self.order, self.bits, self.starts = folder, order, bits, np.array(starts, np.int64)
+    """Level n over mapped shards: (context, word) -> node, with probability, count, and the contexts' weights. A shard
+    is (name, first and last context, nodes); `width` is the number of words."""
+
+    def __init__(self, folder: str, order: int, width: int, shards: tuple):
+        self.folder, self.order, self.width, self.shards = folder, order, width, shards
+        self.low = np.array([s[1] for s in shards], np.int64)
+        self.high = np.array([s[2] for s in shards], np.int64)
+        self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum([s[3] for s in shards], dtype=np.int64)])
         self.open: dict[int, tuple] = {}
 
     def _part(self, s: int):
         if s not in self.open:
-            p = _parts(map_shared(f"{self.folder}/level{self.order}-{s}"))
-            self.open[s] = (*(EliasFano.from_bytes(x) for x in p[:4]), p[4].view("<u2"), p[5].view("<u4"), p[6].view("<u2"))
+            p = _parts(map_shared(f"{self.folder}/{self.shards[s][0]}"))
+            self.open[s] = (*(EliasFano.from_bytes(x) for x in p[:3]), np.asarray(p[3]).view("<u2"), np.asarray(p[4]).view("<u2"))
         return self.open[s]
 
-    def weight(self, context: np.ndarray) -> np.ndarray:
-        """log10 of the contexts' back-off weights; 0 for a context without followers."""
-        return self.find(context, np.zeros(0, np.int64), np.zeros(0, np.int64))[2]
-
     def find(self, context: np.ndarray, which: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For pairs of a context, named by its place in `context`, and a word: node (-1 if there is none) and log10
         probability; and for each context its log10 weight. Contexts and words may be -1."""
         node, log, weight = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(context))
-        shard = np.where(context >= 0, _shard(context, self.bits), -1)
-        of_pair = np.where(word >= 0, shard[which], -1) if len(word) else np.zeros(0, np.int64)
-        order = np.argsort(of_pair, kind="stable")
-        cuts = np.searchsorted(of_pair[order], np.arange((1 << self.bits) + 1))
+        if not len(self.shards) or not len(context):
+            return node, log, weight
+        shard = np.searchsorted(self.low, context, "right") - 1
+        shard[context > self.high[shard]] = -1
+        of_pair = np.where(word >= 0, shard[which], -1)
+        order = np.argsort(of_pair, kind="stable") if len(self.shards) > 1 else np.flatnonzero(of_pair >= 0)
+        cuts = np.searchsorted(of_pair[order], np.arange(len(self.shards) + 1))
+        row = np.zeros(len(context), np.int64)
         for s in np.unique(shard[shard >= 0]).tolist():
-            if self.starts[s + 1] == self.starts[s]:
-                continue
-            contexts, pointers, bases, followers, q, _, weights = self._part(s)
+            pointers, followers, _, q, weights = self._part(s)
             own = np.flatnonzero(shard == s)
-            place = contexts.find(context[own].astype(np.uint64))
-            known = place >= 0
-            own, place = own[known], place[known]
+            place = context[own] - self.low[s]
             weight[own] = weights[place] * -_STEP
             pairs = order[cuts[s] : cuts[s + 1]]
-            if not len(pairs) or not len(own):
+            if not len(pairs):
                 continue
-            row = np.full(len(context), -1, np.int64)
+            first, past = pointers.pair(place)
             row[own] = np.arange(len(own))
             at = row[which[pairs]]
-            pairs, at = pairs[at >= 0], at[at >= 0]
-            first, past = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
-            got = followers.find(bases.get(place)[at] + word[pairs].astype(np.uint64), first[at], past[at])
+            some = past[at] > first[at]
+            pairs, at = pairs[some], at[some]
+            got = followers.find((place[at] * self.width + word[pairs]).view(np.uint64), first[at], past[at])
             hit = got >= 0
             node[pairs[hit]] = got[hit] + self.starts[s]
             log[pairs[hit]] = q[got[hit]] * -_STEP
         return node, log, weight
 
-    def _spread(self, node: np.ndarray):
-        shard = np.searchsorted(self.starts, node, "right") - 1
-        for s in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == s)
-            yield own, node[own] - self.starts[s], self._part(s)
+    def pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Node and log10 probability of each pair."""
+        each, which = _encoded(context)
+        return self.find(each, which, word)[:2]
 
     def count(self, node: np.ndarray) -> np.ndarray:
         out = np.zeros(len(node), np.int64)
-        for own, at, part in self._spread(node):
-            out[own] = part[5][at]
-        return out
-
-    def word(self, node: np.ndarray) -> np.ndarray:
-        """The last word of each node."""
-        out = np.zeros(len(node), np.int64)
-        for own, at, (_, pointers, bases, followers, *_) in self._spread(node):
-            starts = pointers.get(np.arange(pointers.n)).astype(np.int64)
-            place = np.searchsorted(starts, at, "right") - 1
-            out[own] = (followers.get(at) - bases.get(place)).astype(np.int64)
+        shard = np.searchsorted(self.starts, node, "right") - 1
+        for s in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == s)
+            before, after = self._part(s)[2].pair(node[own] - self.starts[s])
+            out[own] = after - before
         return out
 
 
@@ -202,17 +187,11 @@ class Trie:
     def __init__(self, words: Words, levels: list[Level]):
         self.words, self.levels = words, levels
 
-    def log10(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 p of words (ids with their counts) after single words (ids)."""
-        each, which = np.unique(context, return_inverse=True)
-        node, log, weight = self.levels[0].find(each, which, word)
-        return np.where(node >= 0, log, self.words.log10(counts) + weight[which])
-
 
 @lru_cache(maxsize=4)
 def _opened(key: str, words: tuple, levels: tuple) -> Trie:
     del key
-    return Trie(Words(*words[:2], list(words[2]), *words[3:]), [Level(f, n, b, list(s)) for f, n, b, s in levels])
+    return Trie(Words(*words[:2], list(words[2]), *words[3:]), [Level(*level) for level in levels])
 
 
 # ---------------------------------------------------------------- texts
@@ -221,12 +200,16 @@ def _opened(key: str, words: tuple, levels: tuple) -> Trie:
 class Tokens:
     """The tokens of a batch of texts: hashes of the distinct ones, and per token its index and its text."""
 
-    def __init__(self, texts: list[str]):
-        words = [[*t.encode().lower().split(), _END] for t in texts]
-        self.size = np.array([len(w) for w in words], np.int64)
-        flat = pa.array([w for ws in words for w in ws], pa.large_binary()).dictionary_encode()
-        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
-        self.index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, texts: pa.Array):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        flat, owner = words.flatten(), pc.list_parent_indices(words).to_numpy()
+        filled = pc.greater(pc.binary_length(flat), 0)
+        flat, owner = flat.filter(filled).dictionary_encode(), owner[filled.to_numpy(zero_copy_only=False)]
+        self.size = np.bincount(owner, minlength=len(texts)) + 1
+        names = [*flat.dictionary.cast(pa.large_binary()).to_pylist(), _END]
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
+        self.index = np.full(int(self.size.sum()), len(names) - 1, np.int64)
+        self.index[np.arange(len(owner)) + owner] = flat.indices.to_numpy()
         self.text = np.repeat(np.arange(len(texts)), self.size)
 
 
@@ -239,8 +222,8 @@ def _encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Placed:
     """A batch's tokens in the trie, level by level. A state is a distinct context: at level 1 a distinct token."""
 
-    def __init__(self, trie: Trie, tokens: Tokens, least: dict[int, int]):
-        self.trie, self.tokens, self.least = trie, tokens, least
+    def __init__(self, trie: Trie, tokens: Tokens):
+        self.trie, self.tokens = trie, tokens
         self.ids, self.counts = trie.words.find(tokens.hashes)
         self.count = self.counts[tokens.index]
         self.first = np.concatenate([[True], np.diff(tokens.text) > 0]) if len(tokens.index) else np.zeros(0, bool)
@@ -250,28 +233,16 @@ class Placed:
         nodes, which of them each such token has, and its word; the receiver sends back the nodes it found, if any."""
         tokens, width = self.tokens, len(self.ids)
         states, of_token = self.ids, tokens.index
-        frequent = self.count >= self.least[2]
-        run = frequent & ~self.first
+        often = (self.count >= LEAST_COUNT) & ~self.first
         for n in range(2, order + 1):
-            often = self.count >= self.least[n]
-            if n > 2:
-                run = often.copy()
-                for back in range(1, n):
-                    run[back:] &= often[:-back]
-                    run[:back] = False
-                    run &= ~np.concatenate([np.zeros(back - 1, bool), self.first[: len(run) - back + 1]])
-            else:
-                run[1:] &= frequent[:-1]
-            at = np.flatnonzero(run)
+            at = np.flatnonzero(often)
             state = of_token[at - 1]
             good = (state >= 0) & (states[state] >= 0)
             at, state = at[good], state[good]
             keys, which = _encoded(state * width + tokens.index[at])
-            found = yield n, at, states, keys // width, self.ids[keys % width], which
-            if n < order:
-                nodes = found if found is not None else self.trie.levels[n - 2].find(states, keys // width, self.ids[keys % width])[0]
-                states, of_token = nodes, np.full(len(tokens.index), -1, np.int64)
-                of_token[at] = which
+            nodes = yield n, at, states, keys // width, self.ids[keys % width], which
+            states, of_token = nodes, np.full(len(tokens.index), -1, np.int64)
+            of_token[at] = which
 
 
 # ---------------------------------------------------------------- building
@@ -371,7 +342,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
         release()
         counter = _Counter(1)
         for batch in batches:
-            t = Tokens(batch.column(0).to_pylist())
+            t = Tokens(batch.column(0))
             yield from counter.add([t.hashes.view(np.int64)], np.bincount(t.index, minlength=len(t.hashes)))
         yield from counter.flush()
 
@@ -407,6 +378,7 @@ def _meta(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 _META = "shard long, rows long, total long"
+_LEVEL_META = "name string, low long, high long, rows long"
 
 
 def _starts(meta: list, shards: int) -> tuple[int, ...]:
@@ -432,27 +404,22 @@ def _build_words(counts: DataFrame, folder: str) -> tuple:
     return folder, bits, _starts(meta, 1 << bits), sum(r.total for r in meta), sum(r.rows for r in meta)
 
 
-def _least_counts(words: tuple) -> dict[int, int]:
-    """The least count of a word of an n-gram that may be kept: no less than that of the n-gram."""
-    return {n: max(LEAST_COUNT, int(np.ceil(share * words[3]))) for n, share in LEAST_SHARE.items()}
-
-
 def _gram_counts(texts: DataFrame, order: int, words: tuple) -> DataFrame:
-    """k0, k1, k2 (word ids; k2 is -1 for bigrams) and n of the kept n-grams, from one pass over the texts."""
-    least, bits = _least_counts(words), _bits((order - 1) * words[3])
+    """k0, k1, ... (word ids; -1 past the n-gram's end) and n of the kept n-grams, from one pass over the texts."""
+    bits = _bits((order - 1) * words[3])
+    names = [f"k{k}" for k in range(order)]
 
     def run(batches):
         table = _opened(words[0], words, ()).words
         counters = {n: _GramCounter(n, bits) for n in range(2, order + 1)}
         for batch in batches:
-            tokens = Tokens(batch.column(0).to_pylist())
+            tokens = Tokens(batch.column(0))
             ids, counts = table.find(tokens.hashes)
+            known = np.where(counts >= LEAST_COUNT, ids, -1)[tokens.index]
+            run_of = known >= 0
             for n, counter in counters.items():
-                known = np.where(counts >= least[n], ids, -1)[tokens.index]
-                run_of = known >= 0
-                for back in range(1, n):
-                    run_of[back:] &= (known[:-back] >= 0) & (tokens.text[back:] == tokens.text[:-back])
-                    run_of[:back] = False
+                run_of[1:] = run_of[:-1] & (known[1:] >= 0) & (tokens.text[1:] == tokens.text[:-1])
+                run_of[:1] = False
                 place = np.flatnonzero(run_of)
                 yield from counter.add([known[place - back] for back in range(n - 1, -1, -1)], np.ones(len(place), np.int64))
         for counter in counters.values():
@@ -467,52 +434,62 @@ def _gram_counts(texts: DataFrame, order: int, words: tuple) -> DataFrame:
                 columns = _merged([np.concatenate(c) for c in zip(*own, strict=True)])
                 kept = columns[-1] >= LEAST_COUNT
                 columns = [c[kept] for c in columns]
-                columns[n:n] = [np.full(len(columns[0]), -1)] * (3 - n)
+                columns[n:n] = [np.full(len(columns[0]), -1)] * (order - n)
                 for k in range(0, len(columns[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=["k0", "k1", "k2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=[*names, "n"])
 
     found = texts.mapInArrow(run, "shard long, grams binary")
-    return _by_shard(found, 1 << bits).mapInArrow(combined, "k0 long, k1 long, k2 long, n long")
+    return _by_shard(found, 1 << bits).mapInArrow(combined, ", ".join(f"{k} long" for k in [*names, "n"]))
 
 
-def _context_count(trie: Trie, order: int, context: np.ndarray) -> np.ndarray:
-    return trie.words.count(context) if order == 2 else trie.levels[order - 3].count(context)
+def _placed_grams(grams: DataFrame, order: int, words: tuple, levels: tuple) -> DataFrame:
+    """context (node of level order - 1), word, n and below (log10 p of the word after the shorter context)."""
 
+    def place(batch):
+        trie = _opened(words[0], words, levels)
+        *grams, n = (batch.column(k).to_numpy() for k in range(order + 1))
+        context, suffix = grams[0], grams[1]
+        below = trie.words.log10(trie.words.count(grams[1])) if order == 2 else None
+        for level, word, last in zip(trie.levels, grams[1:-1], grams[2:], strict=True):
+            context = level.pairs(context, word)[0]
+            suffix, below = level.pairs(suffix, last)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (context, grams[-1], n, below)], names=["context", "word", "n", "below"])
 
-def _build_level(grams: DataFrame, order: int, words: tuple, levels: tuple, folder: str) -> tuple:
-    grams = grams.where("k2 = -1" if order == 2 else "k2 >= 0")
-    bits = _bits(grams.count())
+    end = F.lit(True) if f"k{order}" not in grams.columns else F.col(f"k{order}") < 0
+    own = grams.where((F.col(f"k{order - 1}") >= 0) & end).select(*(f"k{k}" for k in range(order)), "n")
+    return arrow_map(own, place, "context long, word long, n long, below double")
 
-    def shard(batch):
-        context, word, last, n = (batch.column(k).to_numpy() for k in range(4))
-        if order == 3:
-            each, which = np.unique(context, return_inverse=True)
-            context, word = _opened(words[0], words, levels).levels[0].find(each, which, word)[0], last
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (context, word, n, _shard(context, bits))], names=["k0", "k1", "n", "shard"])
+
+def _build_level(grams: DataFrame, order: int, words: tuple, levels: tuple, folder: str) -> tuple:
+    placed = through_table(_placed_grams(grams, order, words, levels), "placed-grams")
+    shards = max(1, -(-placed.count() // SHARD_ROWS))
 
     def run(batches):
+        parts = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        context, word, n, below = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         trie = _opened(words[0], words, levels)
-        for s, (context, word, n) in _groups(batches, ["k0", "k1", "n"]):
-            each, first = np.unique(context, return_index=True)
-            row = np.repeat(np.arange(len(each)), np.diff([*first, len(context)]))
-            total = _context_count(trie, order, each)
-            left = quantised(np.log10(np.maximum(1 - np.add.reduceat(n - DISCOUNT, first) / total, 1e-16)))
-            counts = trie.words.count(word)
-            below = trie.words.log10(counts) if order == 2 else trie.log10(trie.levels[order - 3].word(each)[row], word, counts)
-            p = (n - DISCOUNT) / total[row] + 10 ** (left[row] * -_STEP + below)
-            last = word[np.concatenate([first[1:] - 1, [len(word) - 1]])]
-            bases = np.concatenate([[0], np.cumsum(last + 1)[:-1]])
-            parts = [EliasFano.build(x).to_bytes() for x in (each, np.concatenate([first, [len(context)]]), bases, bases[row] + word)]
-            write_shared(f"{folder}/level{order}-{s}", _join(*parts, quantised(np.log10(np.minimum(p, 1.0))).tobytes(), np.minimum(n, 2**32 - 1).astype("<u4").tobytes(), left.tobytes()))
-            yield _meta([(s, len(n), 0)])
-
-    sharded = arrow_map(grams, shard, "k0 long, k1 long, n long, shard long")
-    meta = _by_shard(sharded, 1 << bits, "k0", "k1").mapInArrow(run, _META).collect()
-    return folder, order, bits, _starts(meta, 1 << bits)
+        each, first = np.unique(context, return_index=True)
+        size = np.diff([*first, len(context)])
+        total = trie.words.count(each) if order == 2 else trie.levels[-1].count(each)
+        left = quantised(np.log10(np.maximum(1 - np.add.reduceat(n - DISCOUNT, first) / total, 1e-16)))
+        p = (n - DISCOUNT) / np.repeat(total, size) + 10 ** (np.repeat(left, size) * -_STEP + below)
+        low, high = int(each[0]), int(each[-1])
+        pointers, weights = np.zeros(high - low + 2, np.int64), np.zeros(high - low + 1, np.uint16)
+        pointers[each - low + 1], weights[each - low] = size, left
+        coded = [EliasFano.build(x).to_bytes() for x in (np.cumsum(pointers), (context - low) * words[4] + word, np.concatenate([[0], np.cumsum(n)]))]
+        name = f"level{order}-{low}"
+        write_shared(f"{folder}/{name}", _join(*coded, quantised(np.log10(np.minimum(p, 1.0))).astype("<u2").tobytes(), weights.astype("<u2").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, low, high, len(n))], names=["name", "low", "high", "rows"])
+
+    meta = placed.repartitionByRange(shards, "context").sortWithinPartitions("context", "word").mapInArrow(run, _LEVEL_META).collect()
+    return folder, order, words[4], tuple(sorted(map(tuple, meta), key=lambda m: m[1]))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> tuple[tuple, tuple]:
-    """Build the trie of order 2 or 3 of the texts (column text, no nulls) in the shared folder; what it returns opens it
+    """Build the trie of the texts (column text, no nulls) in the shared folder; what it returns opens it
     anywhere."""
     spark: SparkSession = texts.sparkSession
     bounded_batches(spark)
@@ -530,13 +507,12 @@ def score(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
     bounded_batches(docs.sparkSession)
     words, levels = model
-    least = _least_counts(words)
 
     def run(batch):
-        trie, texts = _opened(words[0], words, levels), batch.column(1).to_pylist()
-        tokens = Tokens(texts)
-        placed = Placed(trie, tokens, least)
-        add = lambda x: np.bincount(tokens.text, x, len(texts))
+        trie, rows = _opened(words[0], words, levels), batch.num_rows
+        tokens = Tokens(batch.column(1))
+        placed = Placed(trie, tokens)
+        add = lambda x: np.bincount(tokens.text, x, rows)
         total = trie.words.log10(placed.counts)[tokens.index]
         base = add(total)
         walk, found = placed.levels(len(levels) + 1), None
@@ -550,7 +526,7 @@ def score(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
             total[at[hit]] = log[which[hit]]
             found, before = node, np.full(len(total), -1, np.int64)
             before[at] = which
-        columns = [batch.column(0), pa.array(tokens.size), pa.array(add(placed.count > 0).astype(np.int64)), pa.array(np.full(len(texts), trie.words.total)), pa.array(base), pa.array(add(total))]
+        columns = [batch.column(0), pa.array(tokens.size), pa.array(add(placed.count > 0).astype(np.int64)), pa.array(np.full(rows, trie.words.total)), pa.array(base), pa.array(add(total))]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return arrow_map(docs, run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

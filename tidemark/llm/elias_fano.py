@@ -1,7 +1,8 @@
 """Elias-Fano coded monotone sequences, built and queried in bulk with numpy, over plain or memory-mapped bytes.
 
 A value is split: its low bits are packed side by side, its high part is a one in a bit vector in which a zero ends
-each high value. Rank samples every eight words keep the vector's overhead at an eighth.
+each high value. The ones before each word of that vector, and the word of every 32nd one and zero, are kept beside it,
+so that a query looks at a word or two.
 """
 
 from __future__ import annotations
@@ -10,27 +11,33 @@ import struct
 
 import numpy as np
 
-_ONE = np.uint64(1)
-_BLOCK = 8
+_ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+_SAMPLE = 5
+_FIVES, _THREES, _NIBBLES = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th one of a byte, at byte * 8 + k.
+_IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 def _select64(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one of each word."""
-    word, k, place = word.copy(), k.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        go = k >= low
-        k -= np.where(go, low, 0)
-        place += np.where(go, width, 0)
-        word >>= np.where(go, np.uint64(width), np.uint64(0))
-    return place
+    """Place of the k-th one of each word: bytes are skipped by their running counts, the last one is looked up."""
+    k = k.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        s = word - ((word >> np.uint64(1)) & _FIVES)
+        s = (s & _THREES) + ((s >> np.uint64(2)) & _THREES)
+        sums = ((s + (s >> np.uint64(4))) & _NIBBLES) * _BYTES
+        passed = np.bitwise_count((((k * _BYTES) | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+        before = ((sums << np.uint64(8)) >> passed) & np.uint64(255)
+    byte = (word >> passed) & np.uint64(255)
+    return passed.astype(np.int64) + _IN_BYTE[((byte << np.uint64(3)) + (k - before)).astype(np.int64)]
 
 
 class EliasFano:
     """A sequence of n values that never fall, each below 2**63."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.rank, self.samples = n, low_bits, low, high, rank, (zeros, ones)
+        self.all_zeros = (len(rank) - 1) * 64 - int(rank[-1])
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -39,11 +46,12 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         place = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        words = -(-(int(place[-1]) + 2 if n else 1) // (64 * _BLOCK)) * _BLOCK
+        words = (int(place[-1]) + 2 if n else 1) // 64 + 1
         bits = np.zeros(words * 64, np.uint8)
         bits[place] = 1
-        high = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(1, dtype=np.int64))]).astype(np.uint64)
+        rank = np.concatenate([[0], np.cumsum(np.bitwise_count(np.packbits(bits, bitorder="little").view(np.uint64)), dtype=np.uint32)]).astype(np.uint32)
+        samples = [np.flatnonzero(bits == b)[:: 1 << _SAMPLE].astype(np.uint32) >> np.uint32(6) for b in (1, 0)]
+        high = np.concatenate([np.packbits(bits, bitorder="little").view(np.uint64), np.zeros(2, np.uint64)])
         if low_bits and n:
             part = values & np.uint64((1 << low_bits) - 1)
             grid = ((part[:, None] >> np.arange(low_bits, dtype=np.uint64)) & _ONE).astype(np.uint8).ravel()
@@ -51,34 +59,54 @@ class EliasFano:
             low = np.packbits(np.concatenate([grid, np.zeros(fill, np.uint8)]), bitorder="little").view(np.uint64)
         else:
             low = np.zeros(2, np.uint64)
-        return cls(n, low_bits, low, high, ones)
+        return cls(n, low_bits, low, high, rank, *samples)
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<5Q", self.n, self.low_bits, len(self.low), len(self.high), len(self.ones))
-        return head + b"".join(np.ascontiguousarray(a, "<u8").tobytes() for a in (self.low, self.high, self.ones))
+        parts = (self.low, self.high, self.rank, self.samples[1], self.samples[0])
+        out = [struct.pack("<7Q", self.n, self.low_bits, *map(len, parts))]
+        for a in parts:
+            data = np.ascontiguousarray(a, a.dtype.newbyteorder("<")).tobytes()
+            out += [data, bytes(-len(data) % 8)]
+        return b"".join(out)
 
     @classmethod
     def from_bytes(cls, data: np.ndarray) -> EliasFano:
         """Over an array of bytes, aligned to eight, that may be a memory map."""
-        n, low_bits, a, b, c = struct.unpack("<5Q", data[:40].tobytes())
-        words = data[40 : 40 + 8 * (a + b + c)].view("<u8")
-        return cls(n, low_bits, words[:a], words[a : a + b], words[a + b :])
+        n, low_bits, *sizes = struct.unpack("<7Q", data[:56].tobytes())
+        at, parts = 56, []
+        for size, kind in zip(sizes, ("<u8", "<u8", "<u4", "<u4", "<u4"), strict=True):
+            width = size * int(kind[2])
+            parts.append(np.asarray(data[at : at + width]).view(kind))
+            at += width + -width % 8
+        return cls(n, low_bits, *parts)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th one, or zero, in the high bits."""
-        before = self.ones.astype(np.int64)
-        if not ones:
-            before = np.arange(len(before)) * 64 * _BLOCK - before
-        block = np.searchsorted(before, k, "right") - 1
-        words = self.high[(block[:, None] * _BLOCK + np.arange(_BLOCK))]
-        if not ones:
-            words = ~words
-        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        rest = k - before[block]
-        inside = (counts <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(inside > 0, counts[rows, np.maximum(inside - 1, 0)], 0)
-        return (block * _BLOCK + inside) * 64 + _select64(words[rows, inside], rest)
+        rank = self.rank
+        word = self.samples[ones][k >> _SAMPLE].astype(np.int64)
+        before = (lambda w: rank[w].astype(np.int64)) if ones else (lambda w: (w << 6) - rank[w])
+        late = np.flatnonzero(before(word + 1) <= k)
+        for _ in range(4):
+            if not len(late):
+                break
+            word[late] += 1
+            late = late[before(word[late] + 1) <= k[late]]
+        if len(late):
+            every = rank.astype(np.int64) if ones else np.arange(len(rank)) * 64 - rank
+            word[late] = np.searchsorted(every, k[late], "right") - 1
+        bits = self.high[word]
+        return (word << 6) + _select64(bits if ones else ~bits, k - before(word))
+
+    def _window(self, place: np.ndarray) -> np.ndarray:
+        """64 bits of the high bits from each place on."""
+        word, off = place >> 6, (place & 63).astype(np.uint64)
+        return (self.high[word] >> off) | np.where(off > 0, self.high[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+
+    @staticmethod
+    def _zeros_below(x: np.ndarray) -> np.ndarray:
+        """Zeros below the lowest one of each word: 64 if there is none."""
+        with np.errstate(over="ignore"):
+            return np.bitwise_count((x & (~x + _ONE)) - _ONE).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -96,6 +124,18 @@ class EliasFano:
             return np.zeros(0, np.uint64)
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places i and i + 1, as signed numbers."""
+        if not len(i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self._select(i, True)
+        gap = self._zeros_below(self._window(at + 1))
+        after = at + 1 + gap
+        if len(far := np.flatnonzero(gap == 64)):
+            after[far] = self._select(i[far] + 1, True)
+        bits = np.int64(self.low_bits)
+        return (at - i) << bits | self._low(i).view(np.int64), (after - i - 1) << bits | self._low(i + 1).view(np.int64)
+
     def find(self, value: np.ndarray, first: np.ndarray | None = None, past: np.ndarray | None = None) -> np.ndarray:
         """The place of each value within [first, past), or -1: its high part names a short run, whose low bits are
         searched for the successor."""
@@ -104,13 +144,16 @@ class EliasFano:
         if not self.n or not len(value):
             return out
         high = (value >> np.uint64(self.low_bits)).astype(np.int64)
-        zeros = int(len(self.high) * 64 - self.ones[-1])
-        own = np.flatnonzero(high < zeros)
+        own = np.flatnonzero(high < self.all_zeros)
         if not len(own):
             return out
         h = high[own]
-        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        end = np.minimum(self._select(h, False) - h, self.n)
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        begin = at - h
+        run = self._zeros_below(~self._window(at))
+        if len(far := np.flatnonzero(run == 64)):
+            run[far] = self._select(h[far], False) - at[far]
+        end = np.minimum(begin + run, self.n)
         if first is not None:
             begin, end = np.maximum(begin, first[own]), np.minimum(end, past[own])
         want = value[own] & np.uint64((1 << self.low_bits) - 1)
