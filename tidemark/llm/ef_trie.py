@@ -373,6 +373,19 @@ def _groups(batches, columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]
         yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _joined(batches, rows: int = 250_000) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers joined to larger ones; their usual size is meant for texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _meta(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["shard", "rows", "total"])
 
@@ -457,7 +470,13 @@ def _placed_grams(grams: DataFrame, order: int, words: tuple, levels: tuple) ->
 
     end = F.lit(True) if f"k{order}" not in grams.columns else F.col(f"k{order}") < 0
     own = grams.where((F.col(f"k{order - 1}") >= 0) & end).select(*(f"k{k}" for k in range(order)), "n")
-    return arrow_map(own, place, "context long, word long, n long, below double")
+
+    def run(batches):
+        release()
+        for batch in _joined(batches):
+            yield place(batch)
+
+    return own.mapInArrow(run, "context long, word long, n long, below double")
 
 
 def _build_level(grams: DataFrame, order: int, words: tuple, levels: tuple, folder: str) -> tuple:
