@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import random
 
 import duckdb
@@ -37,10 +38,10 @@ def test_against_brute_force(spark):
 
 
 def test_canonical_urls(spark):
-    urls = ["HTTP://www.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2", "http://example.com", "http://example.com/", None, "no scheme"]
+    urls = ["HTTP://www.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://example.com/a?a=1&b=2", "http://example.com", "http://example.com/", None, "no scheme", "dns:a.example", "urn:b#c", " "]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = [r.k for r in df.select(W.canonical_url(df.url).alias("k")).collect()]
-    assert got == ["example.com/a?a=1&b=2", "example.com/a?a=1&b=2", "example.com", "example.com", None, ""]
+    assert got == ["example.com/a?a=1&b=2", "example.com/a?a=1&b=2", "example.com", "example.com", None, ":no scheme", ":dns:a.example", ":urn:b", None]
 
 
 def test_headers_that_may_be_renewed(spark):
@@ -64,7 +65,35 @@ def test_query_against_its_sql(spark):
     assert found.columns == want.columns
     got = sorted(map(tuple, found.collect()))
     assert got == sorted(want.fetchall()) and len(got) == 750
-    assert 0 < sum(r[3] for r in got) < len(got)
+    for k in (2, 3, 4):  # entity tag, digest, Last-Modified: each resolves some rows and leaves some
+        resolved = [r[3] for r in got if r[0] % 5 == k]
+        assert any(resolved) and (k == 2 or not all(resolved))
+    assert {r[2] % 5 for r in got} == {0, 1}
+
+
+def test_archives_of_a_folder(spark, tmp_path):
+    body = gzip.compress(b"inside")
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (body[:7], body[7:])) + b"0\r\n\r\n"
+    first = {"kind": "response", "url": "http://a.example/", "captured": "2024-01-01T00:00:00Z", "id": 1, "status": 200, "headers": {"ETag": '"e"', "Content-Encoding": "gzip", "Transfer-Encoding": "chunked"}, "body": chunked}
+    again = {"kind": "revisit", "url": "http://a.example/#x", "captured": "2024-01-02T00:00:00Z", "id": 2, "status": 304, "headers": {"ETag": 'W/"e"'}}
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.warc.gz").write_bytes(W.write_warc([first]))
+    whole = W.write_warc([again, first | {"id": 3, "url": "http://b.example/"}])
+    (tmp_path / "deep" / "b.warc.gz").write_bytes(whole[:-20])  # breaks off within its second record
+    (tmp_path / "c.warc").write_bytes(b"")
+    records = W.read_archives(spark, str(tmp_path))
+    assert records.count() == 2
+    row = W.resolve(records).collect()
+    assert len(row) == 1 and row[0].resolved and bytes(row[0].body) == b"inside" and row[0].status == 200
+
+
+def test_hot_originals(spark, monkeypatch):
+    monkeypatch.setattr(W, "HOT_ORIGINALS", 10)
+    day = dt.datetime(2024, 1, 1)
+    base = {"status": 200, "digest": "a", "headers": {}, "captured": day, "url": "http://h.example/"}
+    rows = [base | {"record_id": 0, "kind": "response", "body": "b"}, *(base | {"record_id": i, "kind": "revisit", "captured": day + dt.timedelta(seconds=i)} for i in range(1, 300)), base | {"record_id": 500, "kind": "revisit", "url": "urn:x"}]
+    got = W.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 300 and sum(r.resolved for r in got) == 299 and {r.body for r in got if r.resolved} == {"b"}
 
 
 def test_edge_tables(spark):
