@@ -53,6 +53,14 @@ def test_against_full_alignment():
                 assert got[i] == least
 
 
+def test_repeated_characters_are_counted_in_parts(monkeypatch):
+    block = D.ItemBlock([(1, "a" * 100), (2, "ab" * 40)])
+    text = "x" * 50 + "a" * 3000 + "ab" * 50
+    whole = block.matches(text)
+    monkeypatch.setattr(D, "HITS", 1000)
+    assert block.matches(text) == whole and {m[0] for m in whole} == {1, 2}
+
+
 def test_exact_passages_in_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")

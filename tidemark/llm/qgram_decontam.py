@@ -6,13 +6,14 @@ Such a stretch shares at least m - q + 1 - k q of the item's q-grams on diagonal
 q-grams are counted in bands of 2 (k + 1) diagonals, each overlapping the next by half. Bands that reach the bound are
 verified by banded alignment. Items shorter than q must occur exactly, between non-word characters.
 
-Items go to the workers in blocks of bounded size, whatever the benchmark's size; documents are never joined with
-each other. Null and blank items and texts match nothing; repeated items count once; a null item_id or doc_id is
+Items are indexed in blocks of bounded size, one on the driver at a time, and written to the shared folder; tasks read
+the documents once and load block after block for some megabytes of text. Documents are never joined with each other. Null and blank items and texts match nothing; repeated items count once; a null item_id or doc_id is
 carried through. Every document row is judged by itself, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -21,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, text_of
+from ._common import bounded_batches, hold, map_shared, release, shared_dir, text_of, write_shared
 
 Q, SHARE, BLOCK_CHARS = 8, 0.1, 2_000_000
+#: Shared q-grams (places in the text times places in items) that are counted at a time, and characters of text that a
+#: task gathers before it goes through the blocks.
+HITS, GATHERED = 2_000_000, 16_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,14 +124,10 @@ class ItemBlock:
         found = np.minimum(np.searchsorted(self.codes, grams[at]), len(self.codes) - 1)
         same = self.codes[found] == grams[at]
         at, found = at[same], found[same]
-        times = self.count[found]
         if not len(at):
             return
-        entry = np.repeat(self.begin[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        owner = self.owner[entry]
-        cell = (np.repeat(at, times) - self.place[entry]) // (self.k[owner] + 1)
         span = len(codes) + int(self.place.max()) + 4
-        keys, counts = np.unique(owner * (2 * span) + cell + span, return_counts=True)
+        keys, counts = self._cells(at, found, span)
         # A band is two cells side by side. One that starts at an empty cell holds no hit that the next doesn't hold.
         item, cell = keys // (2 * span), keys % (2 * span) - span
         after = np.zeros(len(keys), np.int64)
@@ -136,6 +136,24 @@ class ItemBlock:
         for i, c in zip(item[good].tolist(), cell[good].tolist(), strict=True):
             yield i, c * (int(self.k[i]) + 1)
 
+    def _cells(self, at: np.ndarray, found: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Item and cell of diagonals, as one number, and the shared q-grams in it; HITS at a time, as a q-gram that
+        repeats in text and item has a hit for each pair of places."""
+        total = np.cumsum(self.count[found])
+        parts, first = [], 0
+        while first < len(at):
+            past = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + HITS, "right")))
+            own, times = found[first:past], self.count[found[first:past]]
+            entry = np.repeat(self.begin[own] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            owner = self.owner[entry]
+            cell = (np.repeat(at[first:past], times) - self.place[entry]) // (self.k[owner] + 1)
+            parts.append(np.unique(owner * (2 * span) + cell + span, return_counts=True))
+            first = past
+        if len(parts) == 1:
+            return parts[0]
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def matches(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """item_id, start, end (in the normal text) and edits of each verified occurrence, overlapping ones once."""
         own = normal(text)
@@ -192,34 +210,68 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[Item
         yield ItemBlock(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
+_loaded: dict[str, ItemBlock] = {}
+
+
+def _block(uri: str) -> ItemBlock:
+    """A written block; a worker keeps the last one."""
+    if uri not in _loaded:
+        hold("qgrams", _loaded.clear)
+        _loaded.clear()
+        _loaded[uri] = pickle.loads(map_shared(uri).tobytes())
+    return _loaded[uri]
+
+
+def _written_blocks(docs: DataFrame, benchmark: DataFrame) -> list[str]:
+    folder, out = shared_dir(docs.sparkSession, "benchmark"), []
+    for k, block in enumerate(item_blocks(benchmark)):
+        out.append(f"{folder}/block-{k}")
+        write_shared(out[-1], pickle.dumps(block))
+    return out
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, text: int, emit, schema) -> DataFrame:
+    """emit(batch, matches of each row) over batches of docs, whose column number `text` holds the texts."""
+    bounded_batches(docs.sparkSession)
+    blocks = _written_blocks(docs, benchmark)
+
+    def go(held):
+        texts = [[t or "" for t in b.column(text).to_pylist()] for b in held]
+        found = [[[] for _ in ts] for ts in texts]
+        for uri in blocks:
+            block = _block(uri)
+            for ts, rows in zip(texts, found, strict=True):
+                for t, row in zip(ts, rows, strict=True):
+                    row += block.matches(t)
+        for batch, rows in zip(held, found, strict=True):
+            yield emit(batch, rows)
+
+    def run(batches):
+        release("qgrams")
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(blocks) == 1 or size >= GATHERED:
+                yield from go(held)
+                held, size = [], 0
+        yield from go(held)
+
+    return docs.mapInArrow(run, schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, past (characters of the normal text) and edits of every occurrence of an item."""
-    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    schema = "doc_id long, item_id long, start long, past long, edits int"
-    parts = []
-    for block in item_blocks(benchmark):
-
-        def run(batch, block=block):
-            rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in block.matches(t)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "start", "past", "edits"])
-
-        parts.append(arrow_map(own, run, schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
 
+    def emit(batch, found):
+        rows = [(i, *m) for i, ms in zip(batch.column(0).to_pylist(), found, strict=True) for m in ms]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "start", "past", "edits"])
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark item."""
-    bounded_batches(docs.sparkSession)
-    out, text = docs, docs.columns.index("text")
-    for block in item_blocks(benchmark):
+    return _matched(own, benchmark, 1, emit, "doc_id long, item_id long, start long, past long, edits int")
 
-        def run(batch, block=block):
-            return batch.filter(pa.array([not block.matches(t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
 
-        out = arrow_map(out, run, docs.schema)
-    return out
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no benchmark item."""
+    return _matched(docs, benchmark, docs.columns.index("text"), lambda batch, found: batch.filter(pa.array([not ms for ms in found], pa.bool_())), docs.schema)
