@@ -49,10 +49,54 @@ def test_new_coefficients_in_a_refinement_scan():
     comp["coefs"][0, 1] = 2
     # symbol 0x01 (code 00), sign 1, correction bit 1 of coefficient 1, then symbol 0x00 (code 01)
     bits = [0, 0, 1, 1, 0, 1]
-    M._scalar_scan(M._packed(np.array(bits, np.uint8)), [comp], (1, 5, 1, 0), 1)
+    M._scalar_scan(M._packed(np.array(bits, np.uint8)), [comp], (1, 5, 1, 0), range(1))
     assert comp["coefs"][0, :4].tolist() == [0, 3, 1, 0]
 
 
+def foreign(rng, width, height, interval):
+    """A 4:2:0 progressive JPEG of any size with restart intervals; and the coefficients that were sent."""
+    frame = M.struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    out = [b"\xff\xd8", M._tables_head(), M._segment(0xC2, frame), M._segment(0xDD, M.struct.pack(">H", interval))]
+    sent = []
+    for c, step in ((0, 8), (1, 16), (2, 16)):
+        blocks = rng.integers(128, 256, (-(-height // step) * -(-width // step), 64)).astype(np.uint8)
+        sent.append(blocks)
+        parts = [blocks[k : k + interval] for k in range(0, len(blocks), interval)]
+
+        def scan(start, end, high, low, tables, code, c=c, parts=parts):
+            coded = [code(p).replace(b"\xff", b"\xff\x00") for p in parts]
+            body = b"".join(x + (bytes([0xFF, 0xD0 + k % 8]) if k + 1 < len(coded) else b"") for k, x in enumerate(coded))
+            out.append(M._scan(c, start, end, high, low, tables, b"") + body)
+
+        scan(0, 0, 0, 1, 0, M._dc_first)
+        scan(1, 63, 0, 1, 0, lambda p: (p[:, 1:] >> 1).tobytes())
+        scan(0, 0, 1, 0, 0, lambda p: M._packed(np.ascontiguousarray(p[:, 0]) & 1))
+        scan(1, 63, 1, 0, 1, lambda p: M._ac_refine((p[:, 1:] & 1 ^ (p[:, 1:] < 128)).astype(np.uint8).ravel(), len(p)))
+    return b"".join([*out, b"\xff\xd9"]), sent
+
+
+@pytest.mark.parametrize(("width", "height", "interval"), [(24, 15, 3), (33, 40, 1), (16, 16, 100), (7, 9, 2)])
+def test_partial_units_and_restarts(width, height, interval):
+    media, sent = foreign(np.random.default_rng(width), width, height, interval)
+    frame = M.decode_coefficients(media)
+    for comp, blocks in zip(frame["components"], sent, strict=True):
+        got = comp["coefs"].reshape(comp["high"], comp["wide"], 64)[: comp["own_high"], : comp["own_wide"]].reshape(-1, 64)
+        want = blocks.astype(np.int32)
+        want[:, 0] -= 128
+        assert (got == want).all()
+    assert M.to_rgb(frame).shape == (height, width, 3)
+
+
+def test_media_that_cannot_be_decoded_are_rows(spark):
+    good = M.encode_progressive(M.pad_payload(b"x"))
+    other, _ = foreign(np.random.default_rng(1), 20, 20, 5)
+    huge = good[:2] + M._segment(0xC2, M.struct.pack(">BHHB", 8, 65535, 65535, 1) + bytes([1, 0x11, 0]))
+    rows = [(1, 1, good), (2, 1, None), (3, 1, b""), (4, 1, b"no image"), (5, 1, good[:300]), (6, 1, other), (7, 1, huge), (8, 1, good[: len(good) // 2])]
+    got = {r.doc_id: r for r in M.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 8 and got[1].error is None and got[6].error is None and got[6].payload is None and len(got[6].rgb) == 1200
+    assert all(got[i].error and got[i].rgb is None for i in (2, 3, 4, 5, 7))
+
+
 def test_query_rows(spark):
     texts = [None, "", "a" * 192, "é" * 500, os.urandom(50).hex(), "a" * 192]
     rows = [(i, t, "x", b"clash") for i, t in enumerate(texts)]

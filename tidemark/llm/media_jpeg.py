@@ -9,6 +9,10 @@ Layout: 4:2:0, one MCU = 4 luma + 1 Cb + 1 Cr blocks = 384 payload bytes, the la
 coefficient holds byte - 128, an AC coefficient byte (128 to 255) or byte - 255 (-255 to -128), so it is never 0.
 Each component is sent as DC scan, AC band scans with one bit held back, then the refinement scans.
 
+Any progressive JPEG of 8-bit samples is read: sizes that are no whole number of MCUs are decoded over whole ones and
+cropped, and restart intervals reset predictors and runs. Media that can't be decoded, nulls among them, give a row
+with nulls and the reason in `error`; so do images of more than MOST_PIXELS.
+
 Nulls and empty texts are the payload of 192 spaces. Equal texts give equal media. Rows are independent: repeated
 rows give repeated results, an empty table an empty result, and other columns are not read.
 """
@@ -30,6 +34,8 @@ UNIT = 192
 BLANK = 32
 _MCU_COLUMNS = 4095
 _NOTE = b"payload"
+#: A frame header may claim more than any file could hold.
+MOST_PIXELS = 1 << 28
 
 #: The zigzag order of an 8 x 8 block (row * 8 + column of each position) follows from its diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -209,27 +215,42 @@ def _dc_first_fast(data: bytes, n: int, table, low: int) -> np.ndarray:
 
 
 def _decode_scan(data: bytes, components: list[dict], header: tuple, interval: int, mcus: int) -> None:
-    start, end, high, low = header
-    if interval:
-        raise ValueError("restart intervals are not supported")
+    """One scan, as it stands in the file. An MCU of a scan of one component is a block, and blocks that only fill the
+    last MCUs of the frame aren't sent in it."""
     if len(components) == 1:
         comp = components[0]
-        coefs, n = comp["coefs"], len(comp["coefs"])
-        if start == 0 and high == 0:
-            try:
-                coefs[:, 0] = _dc_first_fast(data, n, comp["dc"], low)
-                return
-            except (ValueError, IndexError):
-                pass
-        elif start == 0:
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
-            coefs[:, 0] |= bits.astype(np.int32) << low
-            return
-        elif high == 0 and _ac_first_fast(data, comp, start, end, low):
-            return
-        elif high and _ac_refine_fast(data, comp, start, end, low):
+        grid = comp["coefs"].reshape(comp["high"], comp["wide"], 64)
+        own = np.ascontiguousarray(grid[: comp["own_high"], : comp["own_wide"]]).reshape(-1, 64)
+        for k, part in enumerate(_RESTART.split(data) if interval else [data]):
+            blocks = own[k * interval : (k + 1) * interval] if interval else own
+            if len(blocks):
+                _decode_blocks(part.replace(b"\xff\x00", b"\xff"), comp | {"coefs": blocks}, header)
+        grid[: comp["own_high"], : comp["own_wide"]] = own.reshape(comp["own_high"], comp["own_wide"], 64)
+        return
+    for k, part in enumerate(_RESTART.split(data) if interval else [data]):
+        first, past = (k * interval, min(mcus, (k + 1) * interval)) if interval else (0, mcus)
+        _scalar_scan(part.replace(b"\xff\x00", b"\xff"), components, header, range(first, past))
+
+
+def _decode_blocks(data: bytes, comp: dict, header: tuple) -> None:
+    """Blocks of one component between two restarts."""
+    start, end, high, low = header
+    coefs, n = comp["coefs"], len(comp["coefs"])
+    if start == 0 and high == 0:
+        try:
+            coefs[:, 0] = _dc_first_fast(data, n, comp["dc"], low)
             return
-    _scalar_scan(data, components, header, mcus)
+        except (ValueError, IndexError):
+            pass
+    elif start == 0:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
+        coefs[:, 0] |= bits.astype(np.int32) << low
+        return
+    elif high == 0 and _ac_first_fast(data, comp, start, end, low):
+        return
+    elif high and _ac_refine_fast(data, comp, start, end, low):
+        return
+    _scalar_scan(data, [comp], header, range(n))
 
 
 def _ac_first_fast(data: bytes, comp: dict, start: int, end: int, low: int) -> bool:
@@ -283,7 +304,7 @@ def _ac_refine_fast(data: bytes, comp: dict, start: int, end: int, low: int) ->
     return True
 
 
-def _scalar_scan(data: bytes, components: list[dict], header: tuple, mcus: int) -> None:
+def _scalar_scan(data: bytes, components: list[dict], header: tuple, mcus: range) -> None:
     """Any scan, coefficient by coefficient."""
     start, end, high, low = header
     bits = _Chunked(data)
@@ -347,9 +368,9 @@ def _scalar_scan(data: bytes, components: list[dict], header: tuple, mcus: int)
             run -= 1
 
 
-def _interleaved(components: list[dict], mcus: int):
+def _interleaved(components: list[dict], mcus: range):
     """Blocks of an interleaved scan in MCU order."""
-    for m in range(mcus):
+    for m in mcus:
         for c in components:
             wide, row, col = c["wide"], m // (c["wide"] // c["h"]), m % (c["wide"] // c["h"])
             for y in range(c["v"]):
@@ -357,7 +378,8 @@ def _interleaved(components: list[dict], mcus: int):
                     yield c, (row * c["v"] + y) * wide + col * c["h"] + x
 
 
-_SCAN_END = re.compile(rb"\xff[^\x00]")
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+_RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 
 
 def decode_coefficients(media: bytes) -> dict:
@@ -366,9 +388,14 @@ def decode_coefficients(media: bytes) -> dict:
         raise ValueError("not a JPEG")
     at, quant, huff, frame, note, interval = 2, {}, {}, None, None, 0
     while at < len(media):
+        if media[at] != 0xFF:
+            raise ValueError("no marker")
         marker = media[at + 1]
         if marker == 0xD9:
             break
+        if marker == 0xFF:
+            at += 1
+            continue
         size = struct.unpack_from(">H", media, at + 2)[0]
         body = media[at + 4 : at + 2 + size]
         at += 2 + size
@@ -391,10 +418,10 @@ def decode_coefficients(media: bytes) -> dict:
             parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(count)]
             most_h, most_v = max(c["h"] for c in parts), max(c["v"] for c in parts)
             across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
-            if width % (8 * most_h) or height % (8 * most_v):
-                raise ValueError("only whole MCUs are supported")
+            if not 0 < width * height <= MOST_PIXELS:
+                raise ValueError("no such size")
             for c in parts:
-                c |= {"wide": across * c["h"], "high": down * c["v"]}
+                c |= {"wide": across * c["h"], "high": down * c["v"], "own_wide": -(-width * c["h"] // (8 * most_h)), "own_high": -(-height * c["v"] // (8 * most_v))}
                 c["coefs"] = np.zeros((c["wide"] * c["high"], 64), np.int32)
             frame = {"height": height, "width": width, "components": parts, "mcus": across * down, "h": most_h, "v": most_v}
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
@@ -409,8 +436,10 @@ def decode_coefficients(media: bytes) -> dict:
             start, end, approx = body[1 + 2 * n : 4 + 2 * n]
             found = _SCAN_END.search(media, at)
             stop = found.start() if found else len(media)
-            _decode_scan(media[at:stop].replace(b"\xff\x00", b"\xff"), chosen, (start, end, approx >> 4, approx & 15), interval, frame["mcus"])
+            _decode_scan(media[at:stop], chosen, (start, end, approx >> 4, approx & 15), interval, frame["mcus"])
             at = stop
+    if frame is None:
+        raise ValueError("no frame")
     return frame | {"quant": quant, "payload_bytes": note}
 
 
@@ -430,7 +459,7 @@ def to_rgb(frame: dict) -> np.ndarray:
         samples = c["coefs"].astype(np.float32) @ (_inverse() * frame["quant"][c["q"]][:, None])
         samples = np.clip(np.rint(samples + np.float32(128)), 0, 255).astype(np.int16)
         plane = samples.reshape(c["high"], c["wide"], 8, 8).swapaxes(1, 2).reshape(c["high"] * 8, c["wide"] * 8)
-        planes.append(plane.repeat(frame["v"] // c["v"], 0).repeat(frame["h"] // c["h"], 1))
+        planes.append(plane.repeat(frame["v"] // c["v"], 0).repeat(frame["h"] // c["h"], 1)[: frame["height"], : frame["width"]])
     if len(planes) == 1:
         planes = [planes[0], *[np.full_like(planes[0], 128)] * 2]
     y, cb, cr = planes
@@ -452,7 +481,7 @@ def payload_of(frame: dict) -> bytes:
 # ---------------------------------------------------------------- operators
 
 _STORED = "doc_id long, n_bytes long, media binary"
-_READ = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
+_READ = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, error string"
 
 
 def store_media(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -470,20 +499,25 @@ def store_media(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Decode the media column: adds the payload and the RGB tensor (row-major bytes, with its height and width)."""
+    """Decode the media column: adds the payload (null for media of others) and the RGB tensor (row-major bytes, with its
+    height and width), or the error."""
     bounded_batches(stored.sparkSession)
 
     def build(rows):
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "media", "payload", "height", "width", "rgb"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "media", "payload", "height", "width", "rgb", "error"])
 
     def read(batch):
         def rows():
             for i, n, media in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                frame = decode_coefficients(media)
-                yield i, n, media, payload_of(frame), frame["height"], frame["width"], to_rgb(frame).tobytes()
-
-        return chunks_by_bytes(rows(), lambda r: len(r[2]) + len(r[3]) + len(r[6]), build)
+                try:
+                    frame = decode_coefficients(media)
+                    payload = payload_of(frame) if frame["payload_bytes"] is not None else None
+                    yield i, n, media, payload, frame["height"], frame["width"], to_rgb(frame).tobytes(), None
+                except (ArithmeticError, IndexError, KeyError, StopIteration, struct.error, TypeError, ValueError) as e:
+                    yield i, n, media, None, None, None, None, f"{type(e).__name__}: {e}"
+
+        return chunks_by_bytes(rows(), lambda r: sum(len(r[k] or b"") for k in (2, 3, 6)), build)
 
     return arrow_map(stored.select("doc_id", "n_bytes", "media"), read, _READ)
 
