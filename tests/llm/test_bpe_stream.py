@@ -34,7 +34,7 @@ def texts():
 def test_encoding_and_decoding_as_the_library(codec, library):
     for text in texts():
         want = library.encode(text, add_special_tokens=False).ids
-        assert codec.encode(text) == want, repr(text[:80])
+        assert list(codec.encode(text)) == want, repr(text[:80])
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
@@ -71,3 +71,30 @@ def test_query_rows(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert B.tokenize(docs.limit(0)).count() == 0
+
+
+def test_long_texts_in_steps(codec, library, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    text = "".join(rng.choice(("word ", "é", "漢字", " \n\n", "x" * 9, "'ll", " 12", "<|endoftext|>", "\U0001f600")) for _ in range(20_000))
+    for step in (7, 50_000):
+        monkeypatch.setattr(B, "_STEP", step)
+        ids = codec.encode(text)
+        assert list(ids) == library.encode(text, add_special_tokens=False).ids
+        assert codec.decode(ids) == library.decode(list(ids), skip_special_tokens=False)
+
+
+def test_other_tokenizer_files_are_refused():
+    import json
+
+    import pytest
+
+    with open(B.default_tokenizer(), encoding="utf-8") as f:
+        data = json.load(f)
+    data["model"] |= {"vocab": {}, "merges": []}
+    for section, key, value in (("model", "ignore_merges", True), ("model", "end_of_word_suffix", "</w>"), ("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "type", "Metaspace"), (None, "normalizer", {"type": "NFC"})):
+        own = {**data, key: value} if section is None else {**data, section: {**data[section], key: value}}
+        with pytest.raises(ValueError, match="tokenizer file"):
+            B._refuse_others(own)
+    B._refuse_others(data)

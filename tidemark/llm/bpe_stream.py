@@ -7,7 +7,10 @@ once it lies on the chains of all positions from which a later token can still s
 Decoding maps ids to bytes and feeds an incremental UTF-8 machine that keeps at most three pending bytes; malformed
 sequences become U+FFFD as each maximal part.
 
-Words of usual length come from a bounded cache of transducer results. The tokenizer file is a parameter.
+Words of usual length come from a bounded cache of transducer results: they are shorter than the window, so the
+transducer would emit nothing before their end. A long text is cut into words some thousands at a time, and its ids and
+decoded text grow as compact arrays; beside them memory stays constant. The tokenizer file is a parameter; one that
+asks for anything but plain byte-level BPE is refused.
 
 Null is encoded as the empty text (no ids). Rows are independent: repeated rows, an empty table and other columns
 need nothing special.
@@ -19,9 +22,10 @@ import codecs
 import gc
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
@@ -36,6 +40,14 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Words of up to so many bytes are kept, in two generations of so many entries each.
 _CACHED_LENGTH, _CACHE_ENTRIES = 48, 400_000
 _NEVER = 1 << 60
+#: Words of a text that are encoded at a time, and ids that are decoded at a time.
+_STEP = 50_000
+#: What a tokenizer file must say, by section, where it says anything.
+_PLAIN = {
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -45,11 +57,25 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _refuse_others(data: dict) -> None:
+    """Raise for a tokenizer file whose results this module would not match."""
+    for section, wanted in _PLAIN.items():
+        own = data.get(section) or {}
+        for key, value in wanted.items():
+            if (own.get(key, value) or None) != (value or None) or key == "type" and key not in own:
+                raise ValueError(f"tokenizer file: {section}.{key} is {own.get(key)!r}, only {value!r} is supported")
+    if data.get("normalizer"):
+        raise ValueError("tokenizer file: normalizers are not supported")
+    if any(t.get(flag) for t in data.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("tokenizer file: added tokens may not be single words or strip white space")
+
+
 class MergeList:
     """Vocabulary and merges of a byte-level BPE tokenizer file."""
 
     def __init__(self, text: str):
         data = json.loads(text)
+        _refuse_others(data)
         model, alphabet = data["model"], _byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         self.ids = {raw(t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
@@ -241,37 +267,46 @@ class Codec:
             end = start[end - 1]
         return tuple(out[::-1])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """The ids of a text; the strings of special tokens become those tokens."""
-        ids: list[int] = []
+        ids = array("I")
         parts = self.m._split.split(text) if self.m._split and any(s in text for s in self.m.special) else [text]
         known, word = self.words.get, self._word
         for k, part in enumerate(parts):
             if k % 2:
                 ids.append(self.m.special[part])
                 continue
-            pieces = _PIECES.findall(part)
-            found = list(map(known, pieces))
-            if None in found:
-                found = [word(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
-            ids += chain.from_iterable(found)
+            pieces = _PIECES.findall(part) if len(part) <= 4 * _STEP else None
+            cut = None if pieces is not None else (m[0] for m in _PIECES.finditer(part))
+            while pieces := pieces if cut is None else list(islice(cut, _STEP)):
+                found = list(map(known, pieces))
+                if None in found:
+                    found = [word(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
+                ids.extend(chain.from_iterable(found))
+                if cut is None:
+                    break
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids: whole characters pass through, split ones go through the UTF-8 machine."""
-        texts = self.texts
-        found = [texts[i] for i in ids]
-        if None not in found:
-            return "".join(found)
-        machine, out, pending = codecs.getincrementaldecoder("utf-8")("replace"), [], False
-        for i, piece in zip(ids, found, strict=True):
-            if piece is not None and not pending:
-                out.append(piece)
+    def decode_parts(self, ids: Iterator[int]) -> Iterator[str]:
+        """The text of the ids, part by part: whole characters pass through, split ones go through the UTF-8 machine."""
+        texts, machine, pending, ids = self.texts, codecs.getincrementaldecoder("utf-8")("replace"), False, iter(ids)
+        while own := list(islice(ids, _STEP)):
+            found = [texts[i] for i in own]
+            if None not in found and not pending:
+                yield "".join(found)
                 continue
-            out.append(machine.decode(self.m.bytes_of[i]))
-            pending = machine.getstate()[0] != b""
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+            out = []
+            for i, piece in zip(own, found, strict=True):
+                if piece is not None and not pending:
+                    out.append(piece)
+                    continue
+                out.append(machine.decode(self.m.bytes_of[i]))
+                pending = machine.getstate()[0] != b""
+            yield "".join(out)
+        yield machine.decode(b"", True)
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(self.decode_parts(ids))
 
 
 @lru_cache(maxsize=2)
@@ -290,7 +325,7 @@ def default_tokenizer() -> str:
 def tokenize(docs: DataFrame, tokenizer: str | None = None, column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text.
 
-    `tokenizer`: path of the tokenizer file, readable on the driver; executors get it as a Spark file unless they have the same one.
+    `tokenizer`: path of the tokenizer file, readable on the driver; executors that don't have the same one get it as a Spark file.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -298,11 +333,10 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, column: str = "text"
     with open(path, "rb") as f:
         digest = hashlib.sha256(f.read()).hexdigest()
     name = path.rpartition("/")[2]
-    if tokenizer is not None:
-        spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(path)
 
     def codec() -> Codec:
-        for where in (path, SparkFiles.get(name) if tokenizer is not None else path):
+        for where in (path, SparkFiles.get(name)):
             try:
                 with open(where, "rb") as f:
                     if hashlib.sha256(f.read()).hexdigest() == digest:
