@@ -52,3 +52,13 @@ def test_labelled_sample_is_bounded_and_leaves_the_fold_out(spark):
     assert held and not held & {r.doc_id for r in rows} and None not in held
     again = labelled_sample(docs, labels, "quality", 4, 2, 50).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_of_several_texts_under_one_id_the_least_is_used_and_bytes_are_bounded(spark):
+    from tidemark.llm._labels import within_bytes
+
+    docs = spark.createDataFrame([(1, "b" * 10), (1, "a" * 10), (1, "c"), (2, "x" * 30), (3, "y" * 30)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", 1, 9)
+    assert sorted((r.doc_id, r.text) for r in sample.collect()) == [(1, "a" * 10), (2, "x" * 30), (3, "y" * 30)]
+    assert 1 <= within_bytes(sample, 45).count() <= 2 and within_bytes(sample, 1000).count() == 3

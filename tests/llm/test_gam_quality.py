@@ -45,3 +45,28 @@ def test_edge_rows(spark):
     assert G.quality_rows(docs.limit(0), labels).count() == 0
     assert G.quality_rows(docs, labels.limit(0)).count() == 4
     assert set(G.accept(docs, labels).columns) == set(docs.columns)
+
+
+def test_query_against_plain_loops(spark):
+    """The query's rows from labels chosen by hand and table entries added one by one."""
+    import bisect
+    import math
+    import zlib
+
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (pd.read_parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    label = {i: y for i, y in zip(labels.doc_id, labels.quality, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2}
+    own = sorted((i, t) for i, t in zip(docs.doc_id, docs.text, strict=True) if i in label)
+    model = G.AdditiveModel().fit(G.feature_matrix([t for _, t in own]), np.array([label[i] for i, _ in own], float))
+    got = {r.doc_id: r for r in G.quality_rows(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        x, margin = G.features(text), model.base
+        for value, cuts, table in zip(x, model.cuts, model.tables, strict=True):
+            margin += table[bisect.bisect_left(cuts.tolist(), value)]
+        for (a, b), grid in model.grids.items():
+            margin += grid[bisect.bisect_left(model.rough[a].tolist(), x[a])][bisect.bisect_left(model.rough[b].tolist(), x[b])]
+        score = 1 / (1 + math.exp(-margin))
+        assert abs(got[i].score - score) < 1e-9 and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i].predicted == int(score >= 0.7)

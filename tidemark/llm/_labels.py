@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At most so many labelled rows are used for fitting, those of lowest hash of the document's id.
@@ -23,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """doc_id, text and label (0 or 1) of at most `rows` labelled documents outside the held-out fold.
 
     Repeated label rows of a document count once (the largest label). The chosen ids are bounded, so they are
-    broadcast and the documents are only filtered; of repeated document rows any one is used.
+    broadcast and the documents are only filtered; of several texts under one id the least is used.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", folds, remainder))
@@ -33,4 +33,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(rows)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), "doc_id")
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def within_bytes(sample: DataFrame, most: int) -> DataFrame:
+    """The rows of a bounded sample, in order of their ids' hash, up to `most` bytes of text. Only sizes are gathered."""
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sample.select("doc_id", F.octet_length("text").cast("long").alias("_size")).withColumn("_all", F.sum("_size").over(order))
+    return sample.join(F.broadcast(sizes.where(F.col("_all") <= most).select("doc_id")), "doc_id", "left_semi")

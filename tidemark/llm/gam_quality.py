@@ -189,7 +189,7 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Fit on the bounded labelled sample; only its features reach the driver."""
-    sample = with_features(labelled_sample(docs, labels, "quality", FOLDS, HELD, rows), "doc_id", "label").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = with_features(labelled_sample(docs, labels, "quality", FOLDS, HELD, rows), "doc_id", "label").toPandas().sort_values("doc_id")
     x = np.array(sample["features"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x, sample["label"].to_numpy(np.float64))
 
