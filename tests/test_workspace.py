@@ -181,5 +181,11 @@ def test_streaming_merge(spark, tmp_path):
     spark.createDataFrame([("a", "u3", "Something else", "d", 3, NOW), ("a", "u1", "A long title here", "d", 4, NOW)], schema).write.parquet(source + "/two")
     second = ingest.ingest_available(spark, source + "/*", target, str(tmp_path / "ck"), NOW + dt.timedelta(hours=1))
     assert sorted(r.url for r in second.collect()) == ["u1", "u3"]
+    spark.createDataFrame([("c", "u9", "Yet another posting", "d", 9, NOW)], schema).write.parquet(source + "/three")
+    third = ingest.ingest_available(spark, source + "/*", f"file://{target}", str(tmp_path / "fresh"), NOW + dt.timedelta(hours=2))
+    assert sorted(r.url for r in third.collect()) == ["u1", "u3", "u9"] and ingest.current(spark, target)["version"] == 2
+    merge = ingest.merge_into(target, str(tmp_path / "fresh"), NOW)  # a batch that runs again after its pointer moved
+    merge(spark.createDataFrame([("c", "u10", "Must not come in", "d", 1, NOW)], schema), 0)
+    assert ingest.read_current(spark, target).count() == 3 and not os.path.exists(f"{target}/v0")
     windows = ingest.health_windows(spark.createDataFrame([("a", NOW, False), ("a", NOW, True)], "site_name string, scrape_date timestamp, success boolean"))
     assert windows.first().failures == 1

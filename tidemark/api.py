@@ -12,6 +12,7 @@ import logging
 import os
 import shutil
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,10 +79,11 @@ class Workspace:
 
     # -------- postings
 
-    def update(self, pages: DataFrame, now: dt.datetime) -> dict:
-        """The whole cycle over fetched pages (url, html): tables, feed with report, preview. Returns the run's totals."""
+    def update(self, pages: DataFrame, now: dt.datetime, fetch: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+        """The whole cycle over fetched pages (url, html): tables, feed with report, preview. Returns the run's totals.
+        `fetch` gives the detail pages of a frame of urls."""
         clean = self.settings["cleanup"]
-        state, added = update.cycle(update.State(self.table("jobs"), self.table("site_health"), self.table("site_parsers")), self.sites(), pages, now, clean["days_to_keep"], clean["stale_after_days"])
+        state, added = update.cycle(update.State(self.table("jobs"), self.table("site_health"), self.table("site_parsers")), self.sites(), pages, now, clean["days_to_keep"], clean["stale_after_days"], fetch=fetch)
         new = {r["site_name"]: r["n"] for r in added.groupBy("site_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.save(jobs=state.jobs, site_health=state.health)
         outcomes = self.table("site_health").where(F.col("scrape_date") == F.lit(now)).orderBy("site_name").collect()
@@ -297,7 +299,7 @@ def main(arguments: list[str] | None = None) -> int:
     page = lambda: fetched(spark, [a.url], w.settings).first()["html"]
     today, listed = now.date(), lambda path: registry.lines(spark, path)
     run = {
-        "update": lambda: w.update(fetched(spark, [r["url"] for r in w.sites().select("url").collect()], w.settings), now),
+        "update": lambda: w.update(fetched(spark, [r["url"] for r in w.sites().select("url").collect()], w.settings), now, lambda urls: fetched(spark, [r["url"] for r in urls.collect()], w.settings)),
         "feed": lambda: w.feed(now),
         "preview": w.preview,
         "stats": lambda: w.stats(today),

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.graph import components
+from tidemark.tables import numbered
 
 
 def known_names(names: DataFrame, column: str) -> DataFrame:
@@ -101,38 +103,35 @@ def greedy_new(entries: DataFrame) -> DataFrame:
     """Entries (position, name, url) taken in order unless the url or the normal name of one taken before repeats.
 
     Only entries that share a key with another can depend on the order; they are folded within the groups that shared
-    keys tie together, and all others are taken as they are.
+    keys tie together, and all others are taken as they are. An entry without URL repeats nobody's.
     """
-    own = entries.withColumn("_n", X.normal_name(F.col("name"))).withColumn("_u", X.url_key(F.col("url")))
-    keys = own.select("position", F.explode(F.array(F.concat(F.lit("n"), F.col("_n")), F.concat(F.lit("u"), F.coalesce("_u", F.lit(""))))).alias("_key"))
-    label = own.select("position", F.col("position").alias("_group"))
-    while True:
-        at_key = keys.join(label, "position").groupBy("_key").agg(F.min("_group").alias("_least"))
-        moved = keys.join(at_key, "_key").groupBy("position").agg(F.min("_least").alias("_to")).join(label, "position")
-        if moved.where("_to != _group").isEmpty():
-            break
-        label = moved.select("position", F.col("_to").alias("_group"))
-
+    own = entries.withColumn("_n", X.normal_name(F.col("name"))).withColumn("_u", X.blank(X.url_key(F.col("url"))))
+    keys = own.select("position", F.explode(F.array_compact(F.array(F.concat(F.lit("n"), "_n"), F.concat(F.lit("u"), "_u")))).alias("_key"))
+    shared = keys.groupBy("_key").agg(F.min("position").alias("_least"), F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_key", "_least")
+    links = keys.join(shared, "_key").select(F.col("_least").cast("long").alias("a"), F.col("position").cast("long").alias("b"))
+    group = components(links).select(F.col("id").alias("_id"), F.col("class").alias("_group"))
+    joined = own.join(group, F.col("position") == F.col("_id"), "left").drop("_id")
     columns = list(entries.columns)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         names, urls, keep = set(), set(), []
         for i, name, url in group.sort_values("position")[["_n", "_u"]].itertuples():
-            if name not in names and url not in urls:
+            if name not in names and (url is None or url not in urls):
                 keep.append(i)
                 names.add(name)
                 urls.add(url)
         return group.loc[keep, columns]
 
-    return own.join(label, "position").groupBy("_group").applyInPandas(fold, entries.schema)
+    tied = joined.where("_group is not null").groupBy("_group").applyInPandas(fold, entries.schema)
+    return joined.where("_group is null").select(*columns).unionByName(tied)
 
 
 def add_batch(entries: DataFrame, candidates: DataFrame, sites: DataFrame, rejected: DataFrame, date: str, category: str = "") -> DataFrame:
     """The candidates with the new ones of a batch (position, name, url, description) appended, ids counting on."""
     new = greedy_new(duplicate_reason(entries, sites, rejected, candidates).where("reason is null").drop("reason"))
-    numbered = new.withColumn("_k", F.row_number().over(Window.orderBy("position"))).join(F.broadcast(next_id(candidates)))
-    rows = numbered.select(
-        (F.col("next_id") + F.col("_k") - 1).cast("string").alias("id"), "name", "url", F.lit(category).alias("category"), F.coalesce("description", F.lit("")).alias("description"),
+    own = numbered(new, [F.col("position")]).join(F.broadcast(next_id(candidates)))
+    rows = own.select(
+        (F.col("next_id") + F.col("_number") - 1).cast("string").alias("id"), "name", "url", F.lit(category).alias("category"), F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce(X.platform(F.col("url")), F.lit("")).alias("ats_type"), F.lit("0").alias("job_count"), F.lit(date).alias("date_added"), F.lit("pending").alias("status"),
     )
     return candidates.select(*rows.columns).unionByName(rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import dates as D
+from tidemark.tables import numbered
 
 
 def summary(health: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
@@ -47,5 +48,5 @@ def append(health: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with new rows, which get the next ids."""
     new = schemas.conform(rows, schemas.SITE_HEALTH)
     start = F.broadcast(health.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start")))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("scrape_date", "site_name"))).join(start).withColumn("id", (F.col("_start") + F.col("_n")).cast("long"))
-    return health.unionByName(numbered.select(*health.columns))
+    own = numbered(new, [F.col("scrape_date"), F.col("site_name")]).join(start).withColumn("id", (F.col("_start") + F.col("_number")).cast("long"))
+    return health.unionByName(own.select(*health.columns))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import dates as D
 from tidemark.functions import text as X
+from tidemark.operators.graph import components
+from tidemark.tables import numbered, through_table
 
 TITLE_GATE = 10
 
@@ -101,24 +103,33 @@ def recent_history(jobs: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame
 def title_matches(batch: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30, scan: int | None = 500) -> DataFrame:
     """For each batch row whose title is found at another site: match_url and match_site of the newest such posting.
 
-    `scan`: only the newest so many recent postings of other sites are looked at, as seen from the row's site. Each of
-    them is among its own site's newest, so ranks are only needed for those, and a rank among other sites is the rank
-    among all less the own site's postings before it.
+    `scan`: only the newest so many recent postings of other sites are looked at, as seen from the row's site. With no
+    more than so many of any site, these are among the newest 2 * scan of all, so only that many rows are ranked; a rank
+    among other sites is the rank among all less the own site's postings before it. Of each title the newest posting
+    and the newest of any other site decide for every row.
     """
     history = recent_history(jobs, as_of, days).select(F.col("id").alias("_id"), F.col("site_name").alias("match_site"), F.col("url").alias("match_url"), F.col("discovered_date").alias("_found"), X.normal_title(F.col("title")).alias("_title"))
     order = (F.desc("_found"), F.desc("_id"))
     own = batch.withColumn("_title", X.normal_title(F.col("title"))).where(F.length("_title") >= TITLE_GATE)
+    if scan is None:
+        ranked = history.withColumn("_rank", F.lit(0))
+        own = own.withColumn("_ranks", F.array().cast("array<int>"))
+    else:
+        kept = history.withColumn("_own", F.row_number().over(Window.partitionBy("match_site").orderBy(*order))).where(F.col("_own") <= scan).drop("_own")
+        newest = kept.orderBy(*order).limit(2 * scan)
+        ranked = newest.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+        ranks = ranked.groupBy(F.col("match_site").alias("site_name")).agg(F.collect_list("_rank").alias("_ranks"))
+        own = own.join(F.broadcast(ranks), "site_name", "left")
+    one = ranked.groupBy("_title", "match_site").agg(F.max(F.struct("_found", "_id", "match_url", "_rank")).alias("_top"))
+    two = one.withColumn("_k", F.row_number().over(Window.partitionBy("_title").orderBy(F.desc("_top")))).where("_k <= 2")
+    pick = lambda k: F.max(F.when(F.col("_k") == k, F.struct("match_site", "_top")))
+    titles = two.groupBy("_title").agg(pick(1).alias("_first"), pick(2).alias("_second"))
+    other = F.when(F.col("_first.match_site") != F.col("site_name"), F.col("_first")).otherwise(F.col("_second"))
+    found = own.join(titles if scan is None else F.broadcast(titles), "_title").withColumn("_match", other).where("_match is not null")
     if scan is not None:
-        kept = history.withColumn("_own", F.row_number().over(Window.partitionBy("match_site").orderBy(*order))).where(F.col("_own") <= scan)
-        history = kept.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-        ranks = history.groupBy(F.col("match_site").alias("site_name")).agg(F.collect_list("_rank").alias("_ranks"))
-        own = own.join(ranks, "site_name", "left")
-    found = own.join(history, "_title").where(F.col("match_site") != F.col("site_name"))
-    if scan is not None:
-        before = F.size(F.filter(F.coalesce("_ranks", F.array().cast("array<int>")), lambda r: r < F.col("_rank")))
-        found = found.where(F.col("_rank") - before <= scan)
-    newest = Window.partitionBy("site_name", "url", "position").orderBy(*order)
-    return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(*batch.columns, "match_url", "match_site")
+        before = F.size(F.filter(F.coalesce("_ranks", F.array().cast("array<int>")), lambda r: r < F.col("_match._top._rank")))
+        found = found.where(F.col("_match._top._rank") - before <= scan)
+    return found.select(*batch.columns, F.col("_match._top.match_url").alias("match_url"), F.col("_match.match_site").alias("match_site"))
 
 
 def accept_new(batch: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
@@ -127,64 +138,58 @@ def accept_new(batch: DataFrame, jobs: DataFrame, as_of: dt.date, days: int = 30
     In arrival order a row is refused if its url is stored, or if its title (of TITLE_GATE characters) is held by
     another site. As a set rule: a title's owner is the one site that holds it in recent history, nobody if several do,
     else the site of its first arrival; then the first arrival of each url stays. Titles that are tied together by a
-    shared url can depend on each other in arrival order, so those few are folded in order, group by group.
+    shared url can depend on each other in arrival order, so those few are folded in order, group by group; a row whose
+    title is too short to be compared is a title of its own. Of rows equal in title, url and site only the first counts.
     """
-    urls = jobs.select("url").distinct()
-    fresh = batch.join(urls, "url", "left_anti").withColumn("_title", X.normal_title(F.col("title")))
-    holders = recent_history(jobs, as_of, days).select(X.normal_title(F.col("title")).alias("_title"), "site_name").where(F.length("_title") >= TITLE_GATE)
-    holders = holders.groupBy("_title").agg(F.collect_set("site_name").alias("_holders"))
-    rows = fresh.join(holders, "_title", "left")
+    title = X.normal_title(F.col("title"))
+    slim = batch.join(jobs.select("url").distinct(), "url", "left_anti").select("url", "site_name", "arrival", title.alias("_title"))
+    first = F.when(F.length("_title") < TITLE_GATE, F.concat(F.lit("#"), F.col("arrival").cast("string")))  # no title holds a #
+    rows = slim.groupBy(F.coalesce(first, "_title").alias("_title"), "url", "site_name").agg(F.min("arrival").alias("arrival"))
+    history = recent_history(jobs, as_of, days).select(title.alias("_title"), "site_name").where(F.length("_title") >= TITLE_GATE)
+    holders = history.groupBy("_title").agg(F.min("site_name").alias("_holder"), F.max("site_name").alias("_other"))
+    rows = through_table(rows.join(holders, "_title", "left"), "arrivals")
     shared = rows.groupBy("url").agg(F.min("_title").alias("_a"), F.max("_title").alias("_b")).where("_a != _b").select("url")
-    tied = rows.join(shared, "url", "left_semi").select("_title").distinct()
+    ties = rows.join(shared, "url", "left_semi").select("_title", "url").distinct()
+    tied = ties.select("_title").distinct()
     simple, knotted = rows.join(tied, "_title", "left_anti"), rows.join(tied, "_title", "left_semi")
-    short = F.length("_title") < TITLE_GATE
-    # rows with short titles aren't compared, so each is a group of its own
-    first_site = F.first("site_name").over(Window.partitionBy("_title", F.when(short, F.col("arrival"))).orderBy("arrival"))
-    held = F.coalesce(F.size("_holders"), F.lit(0))
-    owner = F.when(held == 1, F.get("_holders", 0)).when(held == 0, first_site)
-    accepted = simple.withColumn("_owner", owner).where(short | (F.col("site_name") == F.col("_owner")))
-    by_url = Window.partitionBy("url").orderBy("arrival")
-    accepted = accepted.withColumn("_n", F.row_number().over(by_url)).where("_n = 1").select(*batch.columns)
-    return accepted.unionByName(_folded(knotted, batch.columns))
-
-
-def _folded(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Knotted titles, in arrival order within each group that shared urls tie together."""
-    ties = rows.select("_title", "url").distinct()
-    label = ties.select("_title").distinct().withColumn("_group", F.col("_title"))
-    while True:
-        at_url = ties.join(label, "_title").groupBy("url").agg(F.min("_group").alias("_least"))
-        step = ties.join(at_url, "url").groupBy("_title").agg(F.min("_least").alias("_to"))
-        moved = label.join(step, "_title").select("_title", F.col("_to").alias("_next"), "_group")
-        if moved.where("_next != _group").isEmpty():
-            break
-        label = moved.select("_title", F.col("_next").alias("_group"))
-    schema = rows.select(*columns).schema
+    firsts = simple.groupBy("_title").agg(F.min_by("site_name", "arrival").alias("_site"))
+    owner = F.when(F.col("_holder").isNull(), F.col("_site")).when(F.col("_holder") == F.col("_other"), F.col("_holder"))
+    accepted = simple.join(firsts, "_title").where(F.col("_title").startswith("#") | (F.col("site_name") == owner))
+    chosen = accepted.groupBy("url").agg(F.min("arrival").alias("arrival")).select("arrival").unionAll(_folded(knotted, ties))
+    return batch.join(chosen, "arrival", "left_semi").select(*batch.columns)
+
+
+def _folded(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """arrival of the accepted rows of knotted titles, in order within each group that shared urls tie together."""
+    ids = through_table(ties.select("_title").distinct().withColumn("_id", F.monotonically_increasing_id()), "knotted-titles")
+    known = ties.join(ids, "_title")
+    least = known.groupBy("url").agg(F.min("_id").alias("a"))
+    label = components(known.join(least, "url").select("a", F.col("_id").alias("b")))
+    grouped = rows.join(ids, "_title").join(label.withColumnRenamed("id", "_id"), "_id", "left").withColumn("_group", F.coalesce("class", "_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         urls: set[str] = set()
         held: dict[str, set[str]] = {}
         keep = []
-        for row in group.sort_values("arrival").itertuples():
-            title = row[group.columns.get_loc("_title") + 1]
-            before = row[group.columns.get_loc("_holders") + 1]
-            sites = held.setdefault(title, set(before) if before is not None else set())
-            ok = row.url not in urls and (len(title) < TITLE_GATE or not sites - {row.site_name})
-            keep.append((row.Index, ok))
-            if ok:
-                urls.add(row.url)
-                sites.add(row.site_name)
-        return group.loc[[i for i, ok in keep if ok], columns]
+        for row in group.sort_values("arrival")[["_title", "url", "site_name", "_holder", "_other", "arrival"]].itertuples(index=False, name=None):
+            name, url, site, holder, other, arrival = row
+            sites = held.setdefault(name, {x for x in (holder, other) if x is not None})
+            if url not in urls and (name.startswith("#") or not sites - {site}):
+                keep.append(arrival)
+                urls.add(url)
+                sites.add(site)
+        return pd.DataFrame({"arrival": keep})
 
-    return rows.join(label, "_title").groupBy("_group").applyInPandas(fold, schema)
+    kind = rows.schema["arrival"].dataType.simpleString()
+    return grouped.select("_group", "_title", "url", "site_name", "_holder", "_other", "arrival").groupBy("_group").applyInPandas(fold, f"arrival {kind}")
 
 
 def insert(jobs: DataFrame, accepted: DataFrame, now: dt.datetime) -> DataFrame:
     """The table with the accepted rows: next ids in arrival order, discovered and seen now."""
     rows = accepted.withColumn("discovered_date", F.lit(now)).withColumn("last_seen_date", F.lit(now)).withColumn("stale", F.lit(False)).withColumn("details_scraped", F.lit(False))
     start = F.broadcast(jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start")))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("arrival"))).join(start).withColumn("id", (F.col("_start") + F.col("_n")).cast("long"))
-    return schemas.conform(jobs, schemas.JOBS).unionByName(schemas.conform(numbered, schemas.JOBS))
+    own = numbered(rows, [F.col("arrival")]).join(start).withColumn("id", (F.col("_start") + F.col("_number")).cast("long"))
+    return schemas.conform(jobs, schemas.JOBS).unionByName(schemas.conform(own, schemas.JOBS))
 
 
 def export(jobs: DataFrame, site: str | None = None, limit: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import text as X
+from tidemark.tables import numbered
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +105,8 @@ def parser_configs(rows: DataFrame) -> DataFrame:
 def upsert_config(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Configurations of the named sites replaced, others kept; replaced ones get new ids."""
     start = F.broadcast(rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_s")))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("site_name"))).join(start).withColumn("id", (F.col("_s") + F.col("_n")).cast("long"))
-    return rows.join(new.select("site_name"), "site_name", "left_anti").select(*rows.columns).unionByName(schemas.conform(numbered, rows.schema))
+    own = numbered(new, [F.col("site_name")]).join(start).withColumn("id", (F.col("_s") + F.col("_number")).cast("long"))
+    return rows.join(new.select("site_name"), "site_name", "left_anti").select(*rows.columns).unionByName(schemas.conform(own, rows.schema))
 
 
 def with_config(site_rows: DataFrame, configs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands in for the shared folder of a session that runs in one process and names none.
@@ -68,3 +68,13 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot_key
     others = [c for c in rows.columns if c != key]
     salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*others), F.col("_salts")).cast("int")).otherwise(0)
     return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts").join(spread, [key, "_salt"]).drop("_salt")
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with `_number`, 1, 2, ... in the order, which should be a total one. Rows are dealt to ranges of the order, numbered in each, and moved up by the ranges before it."""
+    placed = through_table(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = placed.withColumn("_number", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(moved), "_range").withColumn("_number", F.col("_number") + F.col("_before")).drop("_range", "_before")
