@@ -98,7 +98,7 @@ def scrape_rollup(spark, d):
     return jobs.scrape_rollup(rows).select("total_new_jobs", "successful_sites", "failed_sites", F.array_join(F.transform("site_results", lambda r: r["site_name"]), ",").alias("names"))
 
 
-@query(f"SELECT id, title FROM ({_JOBS}) WHERE length(trim(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'))) >= 0 AND CAST(discovered_date AS DATE) >= DATE '2024-01-31' - 30")
+@query(f"SELECT id, title FROM ({_JOBS}) WHERE CAST(discovered_date AS DATE) >= DATE '2024-01-31' - 30")
 def dedup_history(spark, d):
     return jobs.recent_history(postings(spark, d), AS_OF).select("id", "title")
 

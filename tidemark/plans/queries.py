@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import text as X
 from tidemark.operators import curation, extract, health, jobs
-from tidemark.plans import feed
+from tidemark.plans import expected, feed
 from tidemark.sources import registry
 
 AS_OF = dt.date(2024, 1, 31)
@@ -68,7 +68,7 @@ _JOBS = """SELECT doc_id AS id, source AS site_name, 'https://' || source || '.e
   CASE WHEN doc_id % 4 = 0 THEN 'Full-time' END AS job_type, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 = 0 END AS details_scraped,
   CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(doc_id % 90 AS INT)) END AS last_seen_date, doc_id % 11 = 0 AS stale FROM documents"""
 _NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce({0}, ''))), '[-_/]', ' ', 'g'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
-_NAME = "regexp_replace(regexp_replace(lower(trim({0})), '\\s+(?:" + "|".join(X.ORGANISATION_SUFFIXES) + ")s?$', ''), '^the\\s+', '')"
+_NAME = "regexp_replace(regexp_replace(lower(trim({0})), '\\s+(?:" + "|".join(expected.ORGANISATION_SUFFIXES) + ")s?$', ''), '^the\\s+', '')"
 
 
 def _iso(c: str) -> str:
@@ -110,14 +110,14 @@ def _any(text: str, terms: list[str]) -> str:
 
 def _relevance_sql(title: str, description: str) -> str:
     text = f"lower(coalesce({title}, '') || ' ' || substr(coalesce({description}, ''), 1, 500))"
-    high = " + ".join(f"CAST(contains({text}, '{t}') AS INT)" for t in X.RELEVANCE_HIGH)
-    medium = " + ".join(f"CAST(contains({text}, '{t}') AS INT)" for t in X.RELEVANCE_MEDIUM)
+    high = " + ".join(f"CAST(contains({text}, '{t}') AS INT)" for t in expected.RELEVANCE_HIGH)
+    medium = " + ".join(f"CAST(contains({text}, '{t}') AS INT)" for t in expected.RELEVANCE_MEDIUM)
     return f"CASE WHEN trim({text}) = '' THEN '' WHEN ({high}) >= 2 THEN 'Relevance: High' WHEN ({high}) >= 1 OR ({medium}) >= 2 THEN 'Relevance: Medium' ELSE '' END"
 
 
 def _tags_sql(title: str, description: str, location: str, job_type: str) -> str:
     text = "lower(" + " || ' ' || ".join(f"coalesce({c}, '')" for c in (title, description, location, job_type)) + ")"
-    own = ", ".join(f"CASE WHEN {_any(text, terms)} THEN '{name}' END" for name, terms in X.TAGS)
+    own = ", ".join(f"CASE WHEN {_any(text, terms)} THEN '{name}' END" for name, terms in expected.TAGS)
     return f"array_to_string(list_filter([{own}, nullif({_relevance_sql(title, description)}, '')], lambda t: t IS NOT NULL), ',')"
 
 
@@ -187,9 +187,9 @@ def stale_listings(spark, d):
     return jobs.stale_jobs(postings(spark, d)).select("id", F.date_format("last_seen_date", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
-@query(f"SELECT least(count(*), 100) AS stale_count FROM ({_JOBS}) WHERE stale")
+@query(f"SELECT least(count(*), 40) AS stale_count FROM ({_JOBS}) WHERE stale")
 def stale_count(spark, d):
-    return jobs.stale_count(postings(spark, d))
+    return jobs.stale_count(postings(spark, d), 40)
 
 
 @query(f"SELECT {', '.join(c if c != 'discovered_date' else _iso(c) for c in schemas.EXPORT_COLUMNS)} FROM ({_JOBS}) WHERE site_name = 'src3'")
@@ -272,9 +272,9 @@ _PAY = "CASE o_orderkey % 3 WHEN 0 THEN 'budget of ' WHEN 1 THEN 'Salary: ' ELSE
 
 def _salary_sql(text: str) -> str:
     parts = []
-    for p in X.SALARY_PATTERNS:
+    for p in expected.SALARY_PATTERNS:
         q = p.replace("'", "''")
-        parts.append(f"CASE WHEN regexp_extract({text}, '(?i){q}', 2) <> '' AND NOT regexp_matches(right(regexp_extract({text}, '(?is)^(.*?){q}', 1), 40), '(?i){X.SALARY_REJECT}') THEN trim(regexp_replace(regexp_extract({text}, '(?i){q}', 2), '\\s+', ' ', 'g')) END")
+        parts.append(f"CASE WHEN regexp_extract({text}, '(?i){q}', 2) <> '' AND NOT regexp_matches(right(regexp_extract({text}, '(?is)^(.*?){q}', 1), 40), '(?i){expected.SALARY_REJECT}') THEN trim(regexp_replace(regexp_extract({text}, '(?i){q}', 2), '\\s+', ' ', 'g')) END")
     return f"coalesce({', '.join(parts)})"
 
 
@@ -336,7 +336,17 @@ def html_escape(spark, d):
     return p.select("p_partkey", F.concat(F.lit("<p>"), X.escaped(F.concat("p_name", F.lit(" & <b>"), "p_brand", F.lit("\"\nit's"))), F.lit("</p>")).alias("text"))
 
 
-@query(None)
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_PARAGRAPH = "CASE WHEN length(p) < 60 AND NOT ends_with(p, '.') AND NOT ends_with(p, ',') THEN '<h3>' || p || '</h3>' ELSE '<p>' || replace(p, chr(10), '<br>') || '</p>' END"
+
+
+@query(f"""SELECT url, '<div class=''facts''>📍 <strong>' || location || '</strong> | 🏢 ' || site_name || coalesce(' | 💼 ' || job_type, '') || '</div>'
+  || CASE WHEN coalesce(description, '') = '' THEN '' ELSE '<div class=''text''>' || CASE WHEN contains(d, chr(10) || chr(10))
+    THEN array_to_string(list_transform(list_filter(list_transform(string_split(d, chr(10) || chr(10)), lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')), lambda q: q <> ''), lambda p: {_PARAGRAPH}), '')
+    ELSE '<p>' || replace(d, chr(10), '<br>') || '</p>' END || '</div>' END
+  || CASE WHEN keywords IS NOT NULL THEN '<div class=''tags''><strong>Tags</strong><br><span class=''tag''>the</span><span class=''tag''>ing</span></div>' ELSE '' END
+  || '<div class="apply"><a href="' || url || '">Apply for this Position</a></div>' AS content
+FROM (SELECT *, {_ESCAPED.format('description')} AS d FROM (SELECT *, row_number() OVER (ORDER BY discovered_date DESC, id DESC) AS k FROM ({_JOBS})))""")
 def rich_content(spark, d):
     rows = feed.items(postings(spark, d))
     return rows.select("url", "content")
@@ -345,12 +355,12 @@ def rich_content(spark, d):
 # ---------------------------------------------------------------- URLs and platforms
 
 
-@query(f"SELECT page_id, CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in X.PLATFORM_HOSTS)} END AS platform, CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in X.HOSTING_LABELS)} ELSE 'org-hosted careers page' END AS label FROM (SELECT page_id, {_DOMAIN.format('url')} AS h FROM ({_HOSTED}))")
+@query(f"SELECT page_id, CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in expected.PLATFORM_HOSTS)} END AS platform, CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in expected.HOSTING_LABELS)} ELSE 'org-hosted careers page' END AS label FROM (SELECT page_id, {_DOMAIN.format('url')} AS h FROM ({_HOSTED}))")
 def ats_detect(spark, d):
     return hosted(spark, d).select("page_id", X.platform(F.col("url")).alias("platform"), X.hosting_label(F.col("url")).alias("label"))
 
 
-@query(f"SELECT label, n, printf('%.1f', n * 100.0 / t) AS share, repeat('#', CAST(floor(n * 100.0 / t / 2) AS BIGINT)) AS bar FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in X.HOSTING_LABELS)} ELSE 'org-hosted careers page' END AS label FROM (SELECT {_DOMAIN.format('url')} AS h FROM ({_HOSTED}))) GROUP BY 1)")
+@query(f"SELECT label, n, printf('%.1f', n * 100.0 / t) AS share, repeat('#', CAST(floor(n * 100.0 / t / 2) AS BIGINT)) AS bar FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT CASE {' '.join(f'WHEN contains(h, {chr(39)}{h}{chr(39)}) THEN {chr(39)}{p}{chr(39)}' for h, p in expected.HOSTING_LABELS)} ELSE 'org-hosted careers page' END AS label FROM (SELECT {_DOMAIN.format('url')} AS h FROM ({_HOSTED}))) GROUP BY 1)")
 def host_distribution(spark, d):
     return curation.shares(hosted(spark, d), X.hosting_label(F.col("url")))
 
@@ -375,7 +385,7 @@ def probes(spark, d) -> DataFrame:
 _PROBES = f"""SELECT page_id, url, final_url, CASE WHEN code = 404 THEN '404' WHEN code >= 400 THEN 'error' WHEN final_url <> url THEN 'redirect' ELSE 'ok' END AS status,
   CASE WHEN code = 404 THEN 'Page not found' WHEN code >= 400 THEN 'HTTP ' || code WHEN final_url <> url THEN 'Redirects to: ' || final_url ELSE 'URL is valid' END AS message, platform,
   CASE WHEN platform IS NULL AND code = 200 THEN 'https://boards.greenhouse.io/acme/jobs?p=' || page_id END AS better_url
-FROM (SELECT *, CASE {' '.join(f"WHEN regexp_matches(final_url, '(?i){p}') THEN '{n}'" for n, p in X.PROBE_PATTERNS)} END AS platform
+FROM (SELECT *, CASE {' '.join(f"WHEN regexp_matches(final_url, '(?i){p}') THEN '{n}'" for n, p in expected.PROBE_PATTERNS)} END AS platform
   FROM (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 7 = 0 THEN 503 ELSE 200 END AS code, CASE WHEN page_id % 3 = 0 THEN url || '/moved' ELSE url END AS final_url FROM ({_HOSTED})))"""
 
 
@@ -444,9 +454,9 @@ def candidate_duplicate_reason(spark, d):
     return curation.duplicate_reason(wanted, sites, rejected, known)
 
 
-@query(None)
+@query(f"SELECT position, name, url FROM (SELECT *, row_number() OVER (PARTITION BY {_NAME.format('name')} ORDER BY position) AS k FROM (SELECT page_id AS position, regexp_extract(url, '://([^.]*)', 1) AS name, url FROM pages)) WHERE k = 1")
 def candidate_batch_dedup(spark, d):
-    """Pages as entries named by their host's first label: order-dependent, so without SQL."""
+    """Pages as entries named by their host's first label; no URL repeats, so the first of each name is taken."""
     rows = table(spark, d, "pages").select(F.col("page_id").alias("position"), F.regexp_extract("url", "://([^.]*)", 1).alias("name"), F.col("url"))
     return curation.greedy_new(rows)
 
@@ -521,37 +531,60 @@ def page_class_topk(spark, d):
     return totals.orderBy(F.desc("n"), "f").limit(10).select("name", "n")
 
 
-@query("""SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) = '' AS no_title FROM pages WHERE contains(html, '<article')""")
+def _written(spark, d, shapes: list[str]) -> DataFrame:
+    """A page for each supplier, its shape by the key, {n} standing for the key."""
+    s = table(spark, d, "supplier")
+    html = F.get(F.array(*map(F.lit, shapes)), (F.col("s_suppkey") % len(shapes)).cast("int"))
+    return s.select("s_suppkey", F.concat(F.lit("https://x.example.org/board?s="), F.col("s_suppkey").cast("string")).alias("url"), F.replace(html, F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("html"))
+
+
+_ROOT = "'https://x.example.org/"
+
+
+@query(f"SELECT s_suppkey, 0 AS position, 'Title ' || s_suppkey AS title, CASE s_suppkey % 2 WHEN 0 THEN {_ROOT}o/' || s_suppkey ELSE {_ROOT}board?s=' || s_suppkey END AS url, CASE s_suppkey % 2 WHEN 0 THEN 'Here' END AS location FROM supplier")
 def config_extract(spark, d):
-    config = '{"job_container": {"tag": "article"}, "title": {"tag": "h1"}, "url": {"tag": "a", "attr": "href"}}'
-    return extract.extract_jobs(table(spark, d, "pages").select("page_id", "url", "html"), "config", config).select("page_id", (F.col("title") == "").alias("no_title"))
+    pages = _written(spark, d, ["<div class='row x'><h3>Title {n}</h3><a href='/o/{n}'>l</a><i class='at'>Here</i></div><div class='row'><a href='/p'>no title</a></div>", "<div class='row'><h3>Title {n}</h3></div><div><h3>Other</h3></div>"])
+    config = '{"job_container": {"tag": "div", "class": "row"}, "title": {"tag": "h3"}, "url": {"tag": "a", "attr": "href"}, "location": {"tag": "i", "class": "at"}}'
+    return extract.extract_jobs(pages, "config", config).select("s_suppkey", "position", "title", "url", "location")
 
 
-@query(None)
+@query(f"SELECT s_suppkey, 0 AS position, CASE s_suppkey % 3 WHEN 2 THEN 'Senior Line Cook' ELSE 'Chief of staff ' || s_suppkey END AS title, CASE s_suppkey % 3 WHEN 0 THEN {_ROOT}careers/' || s_suppkey WHEN 1 THEN {_ROOT}x/role' ELSE {_ROOT}o/senior-line-cook-12' END AS url, CASE s_suppkey % 3 WHEN 0 THEN 'Town' END AS location FROM supplier")
 def link_scan(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url", "html")
-    return extract.extract_jobs(pages, "links", '{"terms": ["th", "er"], "refused": ["sh"]}').select("page_id", "position", "title", "url", "location")
+    pages = _written(spark, d, ["<p><a href='/careers/{n}'>Chief of staff {n}</a><span class='city'>Town</span></p><a href='/about/jobs'>Jobs with us</a><a href='/jobs/2'>four</a><a href='/else'>Not a thing</a>", "<a href='/x/role'>Chief of staff {n}</a><a href='/x/role'>Chief again</a>", "<a href='/o/senior-line-cook-12'>View job</a><a href='/job/login'>A hidden job</a>"])
+    return extract.extract_jobs(pages, "links").select("s_suppkey", "position", "title", "url", "location")
 
 
-@query(None)
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'About' || chr(10) || s_suppkey WHEN 1 THEN repeat('long text ', 12) || 'end' WHEN 2 THEN array_to_string(['A first long paragraph ' || s_suppkey, 'The second long paragraph', 'The fourth long paragraph'], chr(10) || chr(10)) END AS description,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Lisbon, PT' WHEN 1 THEN 'Office 7' END AS location, CASE s_suppkey % 4 WHEN 0 THEN '$1,000 a week' END AS salary, CASE s_suppkey % 4 WHEN 0 THEN 'Temp' WHEN 1 THEN 'Seasonal' END AS job_type, CASE s_suppkey % 4 WHEN 0 THEN '2024-01-05' WHEN 1 THEN 'posted in May' END AS posted_date FROM supplier""")
 def detail_extract(spark, d):
-    p = table(spark, d, "pages")
-    return p.lateralJoin(extract.ExtractDetails(F.col("html").outer())).select("page_id", "description", "location", "salary", "job_type", "posted_date")
+    pages = _written(spark, d, [
+        "<section id='description-x'>no</section><div class='Job-Description'><p>About</p>{n}</div><span class='job-location'>Lisbon, PT</span><p class='pay-range'>$1,000 a week</p><li class='employment-type'>Temp</li><time class='date' datetime='2024-01-05'>5 Jan</time>",
+        "<main><div>short</div><div>" + "long text " * 12 + "end</div></main><p id='location'>x</p><div class='city'>Office 7</div><p class='salary'>$1</p><div id='jobtype'>Seasonal</div><span id='posted'>posted in May</span>",
+        "<p>A first long paragraph {n}</p><p>The second long paragraph</p><p>short one</p><p>The fourth long paragraph</p>",
+        "<p>Only a few words</p><div class='date'>May</div>",
+    ])
+    return pages.lateralJoin(extract.ExtractDetails(F.col("html").outer())).select("s_suppkey", "description", "location", "salary", "job_type", "posted_date")
 
 
-@query(None)
+@query(f"SELECT s_suppkey, i AS position, CASE i WHEN 0 THEN 'Posting number ' || s_suppkey ELSE 'Another posting' END AS title, CASE i WHEN 0 THEN {_ROOT}jobs/' || s_suppkey ELSE {_ROOT}jobs/more' END AS url FROM supplier, (VALUES (0), (1)) v(i) WHERE i = 0 OR s_suppkey % 2 = 1")
 def url_pattern_extract(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url", "html")
-    return extract.extract_jobs(pages, "config", '{"url_pattern": "/th", "exclude_patterns": ["the"]}').select("page_id", "position", "title", "url")
+    pages = _written(spark, d, ["<a href='/jobs/{n}'>Posting number {n}</a><a href='/jobs/{n}/apply'>Apply for this</a><a href='/work/1'>Posting elsewhere</a>", "<a href='/jobs/{n}'>Posting number {n}</a><a href='/jobs/{n}'>The same again</a><a href='/jobs/more'>Another posting</a><a href='/jobs/y'>tiny</a>"])
+    return extract.extract_jobs(pages, "config", '{"url_pattern": "/jobs/", "exclude_patterns": ["apply"]}').select("s_suppkey", "position", "title", "url")
 
 
-@query(None)
+#: Paths, and the titles they tell.
+SLUGS = [("/jobs/senior-program_manager-12", "Senior Program Manager"), ("/careers/12345", None), ("/job-posting-chief-cook.pdf", "Chief Cook"), ("/o/0123abcd9999", None), ("/opening/grants+lead/apply", "Grants Lead"), ("/catalyst", None), ("/neuroscientist/details", "Neuroscientist"), ("/work/ab12-cook", None), ("/x/gh_jid=9/policy-analyst/", "Policy Analyst"), ("/cook", None)]
+
+
+@query(f"SELECT page_id, CASE page_id % {len(SLUGS)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, (_, t) in enumerate(SLUGS) if t) + " END AS title FROM pages")
 def title_from_url(spark, d):
-    function = F.udf(extract.title_from_url, "string")
-    return hosted(spark, d).select("page_id", function(F.concat("url", F.lit("/senior-program_manager-12"))).alias("title"))
+    paths = F.array(*(F.lit(p) for p, _ in SLUGS))
+    return table(spark, d, "pages").select("page_id", extract.url_title(F.concat(F.lit("https://x.example.org"), F.get(paths, (F.col("page_id") % len(SLUGS)).cast("int")))).alias("title"))
 
 
-@query(None)
+@query("SELECT page_id, page_id % 4 IN (1, 2) AS empty FROM pages")
 def looks_empty(spark, d):
-    function = F.udf(extract.looks_empty, "boolean")
-    return table(spark, d, "pages").select("page_id", function("html").alias("empty"))
+    """Every fourth page each: as it is, a few words, a shell that scripts fill, and a shell with items."""
+    k, text = F.col("page_id") % 4, "words of a shell " * 20
+    html = F.when(k == 1, "<p>Loading</p>").when(k == 2, f"<div id='root'><p>{text}</p></div>").when(k == 3, f"<div id='app'><ul><li>{text}</ul></div>").otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", extract.page_looks_empty(html).alias("empty"))
