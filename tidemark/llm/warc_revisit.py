@@ -70,6 +70,7 @@ def merged_headers(own: Column, original: Column) -> Column:
 def latest_responses(records: DataFrame) -> DataFrame:
     """record_id of each revisit and original_id of the latest earlier response of its URL."""
     slim = records.select("record_id", "kind", canonical_url(F.col("url")).alias("key"), F.coalesce(F.unix_micros("captured"), F.lit(-(1 << 62))).alias("at")).where("key is not null and kind in ('response', 'revisit')")
+    slim = through_table(slim, "slim-captures")  # ranges are found by reading it once more
     slim = through_table(slim.repartitionByRange("key", "at", "record_id").withColumn("range", F.spark_partition_id()), "captures")
     inside = Window.partitionBy("key", "range").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     own = slim.withColumn("_near", F.last(F.when(F.col("kind") == "response", F.col("record_id")), ignorenulls=True).over(inside)).where("kind = 'revisit'")
