@@ -40,3 +40,15 @@ def test_against_a_union_find(spark):
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     assert components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
+def test_rows_are_numbered_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.tables import numbered
+
+    values = random.Random(3).sample(range(10_000), 500)
+    rows = spark.createDataFrame([(v, v % 7) for v in values], "v int, w int").repartition(5)
+    got = {r.v: r._number for r in numbered(rows, [F.desc("w"), F.col("v")]).collect()}
+    assert got == {v: k + 1 for k, v in enumerate(sorted(values, key=lambda v: (-(v % 7), v)))}
+    assert numbered(rows.limit(0), [F.col("v")]).count() == 0

@@ -84,3 +84,18 @@ def test_filters_reach_the_scan(spark, tmp_path):
     rows = table(spark, [{"id": k, "url": str(k), "discovered_date": d} for k, d in enumerate([dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 31, 23, 59), dt.datetime(2024, 2, 1), dt.datetime(2024, 1, 24), dt.datetime(2024, 1, 23, 23, 59), None])])
     got = J.stats(rows, NOW.date()).first()
     assert (got.total_jobs, got.jobs_today, got.jobs_week) == (6, 2, 4)
+
+
+def test_detail_pages_fill_the_first_postings_of_sites_that_ask(spark):
+    from tidemark.plans import update
+
+    schema = "site_name string, keywords string, scrape_details string, position int, title string, url string, description string, location string, salary string, job_type string, posted_date string, department string, arrival long"
+    found = spark.createDataFrame([(site, None, asks, k, f"t{k}", f"{site}{k}", "have" if k == 0 else None, *[None] * 5, k) for site, asks in (("a", "Yes"), ("b", "no")) for k in range(3)], schema)
+    asked = []
+
+    def fetch(urls):
+        asked.extend(sorted(r.url for r in urls.collect()))
+        return urls.withColumn("html", F.concat(F.lit("<div class='description'>About "), "url", F.lit("</div>")))
+
+    got = {r.url: r.description for r in update.detailed(found, fetch, 2).collect()}
+    assert asked == ["a1"] and got == {"a0": "have", "a1": "About a1", "b0": "have", "b1": None, "b2": None}
