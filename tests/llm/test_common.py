@@ -35,6 +35,19 @@ def test_shared_files_are_whole(tmp_path):
     assert isinstance(C.map_shared(uri), np.ndarray) and C.local_path("hdfs://x/y") is None
 
 
+def test_freed_memory_goes_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1])
+    held = [bytes(1000) for _ in range(200_000)]
+    full = resident()
+    del held
+    C.trim()
+    assert resident() < full - 20_000
+
+
+def test_maps_without_batches(spark):
+    assert C.arrow_map(spark.range(0), lambda batch: batch, "id long").count() == 0
+
+
 def test_batches_are_bounded(spark):
     build = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows])], names=["x"])
     sizes = [b.num_rows for b in C.chunks_by_bytes(((i,) for i in range(10)), lambda r: 4, build, 12)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..tables import drop_table, salted_join, shared_dir, through_table
 
-__all__ = ["arrow_map", "bounded_batches", "chunks_by_bytes", "drop_table", "hold", "local_path", "map_shared", "release", "salted_join", "shared_dir", "table", "text_of", "through_table", "write_shared"]
+__all__ = ["arrow_map", "bounded_batches", "chunks_by_bytes", "drop_table", "hold", "local_path", "map_shared", "release", "salted_join", "shared_dir", "table", "text_of", "through_table", "trim", "write_shared"]
 
 #: Rows of one Arrow batch that a Python worker holds; documents are a few KB each.
 BATCH_ROWS = 1000
@@ -85,10 +86,19 @@ def hold(name: str, clear: Callable[[], object]) -> None:
     _held[name] = clear
 
 
+def trim() -> None:
+    """Give freed memory back to the system; allocators keep it otherwise, beside what the JVM and other workers use."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if give_back is not None:
+        give_back(0)
+
+
 def release(but: str | None = None) -> None:
     """Let go of what earlier operators kept, as workers go on from one operator to the next."""
     for name in [n for n in _held if n != but]:
         _held.pop(name)()
+    trim()
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, keeps: str | None = None) -> DataFrame:
@@ -103,6 +113,8 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                     yield out
                 else:
                     yield from out
+        batch = out = None
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._common import arrow_map, bounded_batches, release, salted_join, text_of, through_table
+from ._common import arrow_map, bounded_batches, release, salted_join, text_of, through_table, trim
 
 SHINGLE_WORDS, TREES, BASE, BRANCHES, LEAF = 4, 20, 3, 2, 16
 #: Shingles of the sets that are compared in one task at a time.
@@ -247,6 +247,8 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
                 held.append(row)
         if held:
             yield links(held)
+        held = []
+        trim()
 
     return sorted_rows.mapInArrow(run, "a long, b long")
 
