@@ -150,6 +150,46 @@ def test_page_source(spark):
     assert len(rows) == 2 and all(r.html is None and r.error for r in rows)
 
 
+def test_pages_of_a_frame_of_urls(spark):
+    from pyspark import TaskContext
+
+    from tidemark.sources.fetch import fetch_pages
+
+    def answer(url, timeout):
+        if "broken" in url:
+            raise OSError("down")
+        return (404, {}, url, "") if "gone" in url else (200, {}, url + "#", str(TaskContext.get().partitionId()))
+
+    urls = [f"http://{'D' if k % 2 else 'd'}{k % 6}.example/{k}" for k in range(60)] + ["http://broken.example/", "http://gone.example/", "no url", "http://d1.example/1", None, None]
+    got = fetch_pages(spark.createDataFrame([(u,) for u in urls], "url string"), 4, attempts=1, delay=0, transport=answer).collect()
+    assert sorted(r.url for r in got) == sorted({u for u in urls if u})
+    rows = {r.url: r for r in got}
+    assert rows["http://broken.example/"].error == "down" and rows["http://broken.example/"].status is None
+    assert rows["http://gone.example/"].status == 404 and rows["http://gone.example/"].html is None and rows["no url"].status == 200
+    tasks = {}
+    for r in got:
+        if r.html is not None:
+            tasks.setdefault(r.url.lower().rpartition("/")[0], set()).add(r.html)
+    assert all(len(t) == 1 for t in tasks.values()) and len(set.union(*tasks.values())) > 1
+    assert fetch_pages(spark.createDataFrame([], "url string"), 4, transport=answer).count() == 0
+
+
+def test_written_pages_are_asked_for_once(spark, tmp_path):
+    from tidemark.sources.fetch import fetch_pages
+    from tidemark.tables import through_table
+
+    log = str(tmp_path / "log")
+
+    def answer(url, timeout):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        return 200, {}, url, "x"
+
+    pages = through_table(fetch_pages(spark.createDataFrame([("http://a.example/",), ("http://b.example/",)], "url string"), 2, delay=0, transport=answer), "pages")
+    assert pages.count() == 2 and pages.where("html = 'x'").count() == 2
+    assert sorted(open(log).read().split()) == ["http://a.example/", "http://b.example/"]
+
+
 def test_commands(space, spark, capsys):
     from tidemark import api
 

@@ -22,6 +22,8 @@ from tidemark.functions import text as X
 from tidemark.operators import curation, extract, health, jobs
 from tidemark.plans import feed, update
 from tidemark.sources import config, registry, sinks
+from tidemark.sources.fetch import fetch_pages
+from tidemark.tables import through_table
 
 _TABLES = {"jobs": schemas.JOBS, "site_health": schemas.SITE_HEALTH, "site_parsers": schemas.SITE_PARSERS}
 
@@ -235,19 +237,17 @@ class Workspace:
         return counts
 
 
-def fetched(spark: SparkSession, urls: list[str], settings: dict) -> DataFrame:
-    """Pages of the urls, over the network."""
-    from tidemark.sources.fetch import PageSource
-
-    spark.dataSource.register(PageSource)
+def fetched(urls: DataFrame, settings: dict) -> DataFrame:
+    """Pages of the urls (column url), over the network; a written table, so that each is asked for once."""
     own = settings["scraping"]
-    return spark.read.format("pages").options(urls="\n".join(urls), timeout=own["timeout"], retry_attempts=own["retry_attempts"], max_workers=own["max_workers"]).load()
+    pages = fetch_pages(urls, int(own["max_workers"]), float(own["timeout"]), int(own["retry_attempts"]), agent=own["user_agent"])
+    return through_table(pages, "pages")
 
 
-def _probed(spark: SparkSession, w: Workspace) -> DataFrame:
+def _probed(w: Workspace) -> DataFrame:
     """The active sites with what their URLs answer."""
     sites = w.sites()
-    found = fetched(spark, [r["url"] for r in sites.select("url").collect()], w.settings)
+    found = fetched(sites, w.settings)
     return sites.select("site_name", "url").join(found, "url").select("site_name", "url", "final_url", F.coalesce("status", F.lit(599)).alias("code"), "html")
 
 
@@ -296,10 +296,10 @@ def main(arguments: list[str] | None = None) -> int:
     logging.basicConfig(level=w.settings["logging"]["level"], format="%(asctime)s %(levelname)s %(message)s", handlers=[logging.StreamHandler(), logging.FileHandler(w.path("tidemark.log"), encoding="utf-8")])
     logging.getLogger("tidemark").info("%s in %s", a.command, a.folder)
     now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-    page = lambda: fetched(spark, [a.url], w.settings).first()["html"]
+    page = lambda: fetched(spark.createDataFrame([(a.url,)], "url string"), w.settings).first()["html"]
     today, listed = now.date(), lambda path: registry.lines(spark, path)
     run = {
-        "update": lambda: w.update(fetched(spark, [r["url"] for r in w.sites().select("url").collect()], w.settings), now, lambda urls: fetched(spark, [r["url"] for r in urls.collect()], w.settings)),
+        "update": lambda: w.update(fetched(w.sites(), w.settings), now, lambda urls: fetched(urls, w.settings)),
         "feed": lambda: w.feed(now),
         "preview": w.preview,
         "stats": lambda: w.stats(today),
@@ -318,7 +318,7 @@ def main(arguments: list[str] | None = None) -> int:
         "test": lambda: w.test(a.url, page()),
         "try-site": lambda: w.try_site(a.url, page(), a.parser),
         "add-site": lambda: w.add_site(a.name, a.url, a.keywords, a.details, a.parser),
-        "validate-urls": lambda: w.validate_urls(_probed(spark, w), w.path(a.output)),
+        "validate-urls": lambda: w.validate_urls(_probed(w), w.path(a.output)),
         "approve": lambda: w.decide(a.ids, True),
         "reject": lambda: w.decide(a.ids, False),
     }

@@ -1,4 +1,4 @@
-"""Fetching pages as a Spark data source, with a limiter for each domain.
+"""Fetching pages, from a frame of URLs or as a Spark data source, with a limiter for each domain.
 
 A domain's pages are dealt to one partition, so its limiter is local to one task. Tests give a transport of their own.
 """
@@ -10,11 +10,20 @@ import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_BACKOFF, MOST_WAIT = 60.0, 30
+AGENT = "Mozilla/5.0"
+#: Columns of fetched pages.
+PAGE = "url string, final_url string, status int, html string, error string"
+#: Bytes of pages that a task holds before it passes them on.
+HELD_BYTES = 16 << 20
 Transport = Callable[[str, float], tuple[int, dict, str, str]]
 
 
@@ -37,9 +46,9 @@ class Limiter:
         self.extra[domain] = min(2 * (self.extra.get(domain) or self.delay), MOST_BACKOFF)
 
 
-def http(url: str, timeout: float) -> tuple[int, dict, str, str]:
+def http(url: str, timeout: float, agent: str = AGENT) -> tuple[int, dict, str, str]:
     """Status, headers, final URL and text of a page; raises OSError if there is no answer."""
-    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"})
+    request = urllib.request.Request(url, headers={"User-Agent": agent})
     try:
         with urllib.request.urlopen(request, timeout=timeout) as answer:
             return answer.status, dict(answer.headers), answer.url, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
@@ -77,6 +86,34 @@ def fetch(url: str, limiter: Limiter, transport: Transport = http, timeout: floa
     return out
 
 
+def fetch_pages(urls: DataFrame, tasks: int = 5, timeout: float = 15, attempts: int = 2, delay: float = 1.0, agent: str = AGENT, transport: Transport | None = None) -> DataFrame:
+    """The page of each distinct url (column url) that isn't null, with the columns of PAGE. The urls stay where they
+    are stored and are dealt by domain; `tasks` is how many are asked at a time. Every use of the result fetches anew,
+    so write it to a table first."""
+    ask = transport or partial(http, agent=agent)
+    domain = F.lower(F.regexp_extract("url", "^[^:/?#]*://([^/?#]*)", 1))
+    dealt = urls.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct().repartition(tasks, domain)
+    names = [c.split()[0] for c in PAGE.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in PAGE.split(", ")]
+
+    def built(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches):
+        limiter, held, weight = Limiter(delay), [], 0
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                held.append(fetch(url, limiter, ask, timeout, attempts))
+                weight += len(held[-1]["html"] or "")
+                if weight >= HELD_BYTES:
+                    yield built(held)
+                    held, weight = [], 0
+        if held:
+            yield built(held)
+
+    return dealt.mapInArrow(run, PAGE)
+
+
 class PageSource(DataSource):
     """spark.read.format("pages").option("urls", newline-separated).load(): url, final_url, status, html, error."""
 
@@ -85,7 +122,7 @@ class PageSource(DataSource):
         return "pages"
 
     def schema(self):
-        return "url string, final_url string, status int, html string, error string"
+        return PAGE
 
     def reader(self, schema):
         return _Pages(self.options)
