@@ -108,6 +108,26 @@ def test_articles_of_the_tables(spark):
         assert got[r.page_id].text == want and got[r.page_id].url == r.url
 
 
+def test_every_page_comes_through_the_arrays(spark):
+    """Pages with an article, too, tell what the arrays removed of them, as counted by the definition."""
+    from urllib.parse import urlsplit
+
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    pages = spark.read.parquet(folder)
+    card = [(10_000 + i, f"http://h.example/{i}", f"<div>home about products contact and more links</div><p>{i} is its number") for i in range(2)]
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()] + card
+    streams = {i: (urlsplit(u).netloc, [w for s, t in H.blocks(h) if s != H.CONTENT for w in t.split()]) for i, u, h in rows}
+    owners = {}
+    for i, (host, words) in streams.items():
+        for k in range(len(words) - H.RUN + 1):
+            owners.setdefault((host, *words[k : k + H.RUN]), set()).add(i)
+    want = {i: len({j for k in range(len(words) - H.RUN + 1) if len(owners[(host, *words[k : k + H.RUN])]) > 1 for j in range(k, k + H.RUN)}) for i, (host, words) in streams.items()}
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.n_shared for i, r in got.items()} == want
+    assert sum(n > 0 for n in want.values()) > 80
+    assert got[10_000].text == "0 is its number" and got[10_000].n_shared == 7
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word &lt; more</p>" * 50_000 + "</article>"
     rows = [(1, None, None, "x"), (None, "http://[bad", "<p>a b c d e f", "x"), (None, "http://[bad", "<p>a b c d e f", "x"), (3, "http://h.example/", long, "x"), (4, "", "<p>" * 2000 + "deep", "x")]

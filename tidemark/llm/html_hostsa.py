@@ -3,8 +3,9 @@
 A page is parsed into blocks. Inside of an article (or main part) they are content, which repetition never removes;
 inside of menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts they are boilerplate.
 All blocks that aren't content form the page's token stream. The streams of a host are concatenated, and from their
-suffix array come the long substrings (RUN tokens at least) that distinct pages share. What they cover is removed from
-the blocks that structure leaves open: those of pages without an article element. The unique runs of these stay.
+suffix array come the long substrings (RUN tokens at least) that distinct pages share. What they cover is removed on
+every page. Of what is left, structure then drops the blocks that it knows for boilerplate; the unique runs of those it
+leaves open, on pages without an article element, stay.
 
 A host of more than CHUNK_CHARS is dealt to chunks, each with an array of its own; windows of RUN tokens that none of
 them found repeated are then told apart over the host's chunks by their codes. A shared substring is the union of its
@@ -374,7 +375,9 @@ def shared_spans(parsed_pages: DataFrame) -> DataFrame:
 
 
 def kept_text(found: list[tuple[int, str]], spans: list[tuple[int, int]]) -> str:
-    """The content of a page: settled content, and of open blocks the tokens outside of shared substrings."""
+    """The text of a page after its host's arrays: outside of articles, tokens of shared substrings go, whatever block
+    they stand in. Then structure is checked: what the arrays leave there stays in open blocks only, and articles are
+    whole, even where pages share their passages."""
     covered = {k for first, past in spans for k in range(first, past)}
     out, at = [], 0
     for state, text in found:
@@ -382,26 +385,30 @@ def kept_text(found: list[tuple[int, str]], spans: list[tuple[int, int]]) -> str
             out.append(text)
             continue
         words = text.split()
+        unique = [w for k, w in enumerate(words, at) if k not in covered]
         if state == OPEN:
-            out += [w for k, w in enumerate(words, at) if k not in covered]
+            out += unique
         at += len(words)
     return " ".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    found = through_table(parsed(pages), "parsed-pages")
-    is_open = F.exists("blocks", lambda b: b["state"] == OPEN)
-    settled = found.where(~is_open).withColumn("text", F.array_join(F.transform(F.filter("blocks", lambda b: b["state"] == CONTENT), lambda b: b["text"]), " "))
-    undecided = found.where(is_open).join(shared_spans(found), ["row", "page"], "left").select("page_id", "url", "blocks", "spans")
+    """page_id, url, text, n_chars and n_shared of every page: the last counts the tokens outside of articles that the
+    arrays found on other pages of the host, which is why they are not in the text.
+
+    Every page meets its spans in one shuffle. Pages are parsed for the streams and again for the texts, as a table of
+    parsed pages would take as much disk as that shuffle once more.
+    """
+    found = parsed(pages)
+    met = found.join(shared_spans(found), ["row", "page"], "left").select("page_id", "url", "blocks", "spans")
 
     def run(batch):
-        texts = [kept_text([(b["state"], b["text"]) for b in own], [(x["first"], x["past"]) for x in at or []]) for own, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        rows = [([(b["state"], b["text"]) for b in own], [(x["first"], x["past"]) for x in at or []]) for own, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        shared = [len({k for first, past in spans for k in range(first, past)}) for _, spans in rows]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([kept_text(*r) for r in rows], pa.string()), pa.array(shared, pa.int64())], names=["page_id", "url", "text", "n_shared"])
 
-    rest = arrow_map(undecided, run, "page_id long, url string, text string")
-    both = settled.select("page_id", "url", "text").unionAll(rest)
-    return both.withColumn("n_chars", F.char_length("text").cast("long"))
+    texts = arrow_map(met, run, "page_id long, url string, text string, n_shared long")
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def boilerplate_report(pages: DataFrame) -> DataFrame:
