@@ -137,3 +137,24 @@ def test_query_against_plain_loops(spark):
         score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, model.coef, strict=True))))
         assert abs(got[i].score - score) < 1e-9, i
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(score >= 0.7)
+
+
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """More rows than a sample of 10,000: character weights, lexicon and coefficients are those of all texts at once."""
+    import numpy as np
+
+    monkeypatch.setattr(N, "COUNTED", 500, raising=False)  # tasks pass their counts on often
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeioust", k=rng.randrange(2, 8))) for _ in range(600)]
+    rows, marks = [], []
+    for i in range(16_000):
+        toxic = int(rng.random() < 0.1)
+        rows.append((i, " ".join([*rng.choices(words, k=5), f"own{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", *([rng.choice(["1d10t", "idiot", "clown"])] if toxic else ["t00"])])))
+        marks.append((i, toxic))
+    own = [(t, y) for (i, t), (_, y) in zip(rows, marks, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(own) > 10_000
+    want = N.ToxicityModel([t for t, _ in own], np.array([y for _, y in own], float))
+    got = N.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert got.restorer.model.tri == want.restorer.model.tri and got.restorer.model.total == want.restorer.model.total
+    assert got.weights == want.weights and b"idiot" in got.weights
+    assert np.abs(got.coef - want.coef).max() < 1e-9

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, for the operators that learn from labels."""
+"""Labelled documents, all or a bounded sample, for the operators that learn from labels."""
 
 from __future__ import annotations
 
@@ -36,6 +36,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, remainder: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of every labelled document outside the held-out fold.
+
+    Repeated label rows and several texts under one id are settled as in the sample. Labels grow with the corpus, so
+    they aren't broadcast: the texts of the other folds are shuffled.
+    """
+    chosen = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", folds, remainder))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(F.col(label).cast("int")).alias("label"))
+    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, remainder))
+    return own.join(chosen.hint("merge"), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def within_bytes(sample: DataFrame, most: int) -> DataFrame:
     """The rows of a bounded sample, in order of their ids' hash, up to `most` bytes of text. Only sizes are gathered."""
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,8 +6,9 @@ repetition or a separator) or for a word border. Viterbi decoding under a charac
 toxic words held as tracked prefixes, gives the restored stretch. A stretch without such characters has one path, its
 own, so it is passed on as it is. The restored text is scored by the toxic words and word beginnings it holds.
 
-Everything is learnt from a bounded sample of labelled rows (TOXIC_ROWS, TOXIC_BYTES): the character model from its words, the
+Everything is learnt from all labelled rows outside the held-out fold: the character model from their words, the
 lexicon from the words and beginnings that mark label 1, the final score by logistic regression on lexicon features.
+Counts and the sums of the regression's steps are made by tasks; character trigrams and the lexicon reach the driver.
 Every document is scored, over its whole text.
 
 Null is the empty text, which has a score like any other. Without labels of both classes the score is the smoothed
@@ -19,18 +20,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, text_of, through_table
-from ._labels import held_out, labelled_sample, within_bytes
+from ._common import arrow_map, bounded_batches, drop_table, release, text_of, through_table, trim
+from ._labels import held_out, labelled
 
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
-#: At most so many labelled rows are learnt from, and so many bytes of text: both bound the driver's memory.
-TOXIC_ROWS, TOXIC_BYTES = 10_000, 64 << 20
+#: Words and marks that a task counts before it passes the counts on.
+COUNTED = 200_000
+#: Weights of trigrams are whole numbers of this part, so that their sums don't depend on the order of words.
+_PART = 2.0**-32
 #: The letters that each look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*"
@@ -47,25 +51,32 @@ _TO_SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _KEEP, _DROP, _SPLIT = math.log(0.7), math.log(0.3), math.log(0.05)
 
 
+def trigrams(words: Iterable[tuple[str, int]]) -> Counter:
+    """Weight of each character trigram, in _PARTs, over words and the number of documents that have them."""
+    found = Counter()
+    for word, n in words:
+        seq = BORDER * 2 + word + BORDER
+        weight = round(math.log1p(n) / _PART)
+        for k in range(2, len(seq)):
+            found[seq[k - 2 : k + 1]] += weight
+    return found
+
+
 class CharacterModel:
     """Interpolated character trigrams over words, words set off by borders."""
 
-    def __init__(self, words: Counter):
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for word, n in words.items():
-            seq = BORDER * 2 + word + BORDER
-            weight = math.log1p(n)
-            for k in range(2, len(seq)):
-                tri[seq[k - 2 : k + 1]] += weight
-                bi[seq[k - 1 : k + 1]] += weight
-                uni[seq[k]] += weight
-        self.tri, self.bi, self.uni, self.total = dict(tri), dict(bi), dict(uni), sum(uni.values())
+    def __init__(self, words: Counter, weights: dict[str, int] | None = None):
+        """Of the words, or of trigrams that were weighted before."""
+        tri, bi, uni = trigrams(words.items()) if weights is None else weights, Counter(), Counter()
         left, two = Counter(), Counter()
         for g, n in tri.items():
+            bi[g[1:]] += n
+            uni[g[2]] += n
             two[g[:2]] += n
         for g, n in bi.items():
             left[g[0]] += n
-        self.two, self.left = dict(two), dict(left)
+        self.tri, self.bi, self.uni, self.two, self.left = ({g: n * _PART for g, n in x.items()} for x in (tri, bi, uni, two, left))
+        self.total = sum(uni.values()) * _PART
         self._known: dict[str, float] = {}
 
     def log(self, a: str, b: str, c: str) -> float:
@@ -182,47 +193,73 @@ def _marks(words: set[bytes]) -> set[bytes]:
     return words | {w[:k] + b"*" for w in words for k in (4, 5, 6, 7) if len(w) > k}
 
 
+class Counts:
+    """Documents that have a word, by word, and documents that have a mark, by their label and the mark."""
+
+    def __init__(self):
+        self.words, self.marks = Counter(), (Counter(), Counter())
+
+    def add(self, text: str, label: int) -> None:
+        low = text.lower()
+        self.words.update(set(re.findall(r"[^\W\d_]+", low)))
+        self.marks[bool(label)].update(_marks(word_set(low)[0]))
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.marks[0]) + len(self.marks[1])
+
+
+def mark_weight(n: int, k: int, pos: int, neg: int) -> float | None:
+    """Weight of a mark of n of the pos documents of label 1 and k of the neg others, if it is far more frequent there
+    and a likelihood ratio test leaves no doubt."""
+    if n < 3:
+        return None
+    weight = math.log((n + 0.1) / (pos + 1)) - math.log((k + 0.1) / (neg + 1))
+    if weight <= 2:
+        return None
+    share = (n + k) / (pos + neg)
+    test = 2 * (n * math.log(n / (share * pos)) + (k * math.log(k / (share * neg)) if k else 0.0))
+    return weight if test > 16 else None
+
+
+def step_sums(x: np.ndarray, y: np.ndarray, rows: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the log likelihood, flat, over rows of features that occur so many times with y of label 1."""
+    p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+    return np.concatenate([x.T @ (y - rows * p), ((x * (rows * p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def logistic(sums: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """Newton steps with a small ridge, hardly any on the intercept, from the sums at given coefficients."""
+    coef, ridge = np.zeros(width), np.diag([1e-6, *[0.3] * (width - 1)])
+    for _ in range(30):
+        flat = sums(coef)
+        step = np.linalg.solve(flat[width:].reshape(width, width) + ridge, flat[:width] - ridge @ coef)
+        coef = coef + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.round(coef, 10)  # beyond what the order of sums can change
+
+
 class ToxicityModel:
     """Restorer, lexicon of weighted marks, and the logistic layer."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
+        """Learnt from texts at hand; fit_toxicity() learns the same from tables of any size."""
         y = np.asarray(labels, np.float64)
-        count = Counter()
-        for t in texts:
-            count.update(set(re.findall(r"[^\W\d_]+", t.lower())))
-        chars = CharacterModel(count)
-        del count
-        self.weights = self._lexicon(texts, y)
-        whole = {m.decode() for m in self.weights if not m.endswith(b"*")}
-        self.restorer = Restorer(chars, whole)
-        both = len(y) > 0 and 0 < y.sum() < len(y)
-        self.coef = np.zeros(5)
-        self.coef[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
-        if both:
-            self.coef = self._logistic(np.array([self.features(t) for t in texts]), y)
-
-    @staticmethod
-    def _lexicon(texts: list[str], y: np.ndarray) -> dict[bytes, float]:
-        """Marks far more frequent in documents of label 1, where a likelihood ratio test leaves no doubt."""
-        split = (Counter(), Counter())
+        counts, pos = Counts(), int(y.sum())
         for text, label in zip(texts, y, strict=True):
-            if label:
-                split[1].update(_marks(word_set(text.lower())[0]))
-        often = {m for m, n in split[1].items() if n >= 3}
-        for text, label in zip(texts, y, strict=True):
-            if not label:
-                split[0].update(_marks(word_set(text.lower())[0]) & often)
-        pos, neg = y.sum(), len(y) - y.sum()
-        out = {}
-        for m in sorted(often):
-            n, k = split[1][m], split[0][m]
-            weight = math.log((n + 0.1) / (pos + 1)) - math.log((k + 0.1) / (neg + 1))
-            if weight > 2:
-                share = (n + k) / (pos + neg)
-                test = 2 * (n * math.log(n / (share * pos)) + (k * math.log(k / (share * neg)) if k else 0.0))
-                if test > 16:
-                    out[m] = weight
-        return out
+            counts.add(text, label)
+        other, toxic = counts.marks
+        self.learn(CharacterModel(counts.words), {m: w for m, n in toxic.items() if (w := mark_weight(n, other[m], pos, len(y) - pos))}, pos, len(y) - pos)
+        if 0 < pos < len(y):
+            x = np.array([self.features(t) for t in texts])
+            self.coef = logistic(lambda coef: step_sums(x, y, np.ones(len(y)), coef), x.shape[1])
+
+    def learn(self, chars: CharacterModel, weights: dict[bytes, float], pos: int, neg: int) -> None:
+        """What is known before the logistic layer; without it, the score is the smoothed share of label 1."""
+        self.weights = dict(sorted(weights.items()))
+        self.restorer = Restorer(chars, {m.decode() for m in weights if not m.endswith(b"*")})
+        self.coef = np.zeros(5)
+        self.coef[0] = math.log((pos + 1) / (neg + 1))
 
     def features(self, text: str) -> list[float]:
         words, n = word_set(self.restorer.restore(text))
@@ -235,28 +272,99 @@ class ToxicityModel:
                 found.append(best)
         return [1.0, max(found, default=0.0) / 8, min(len(found), 8) / 8, float(bool(found)), math.log1p(n) / 10]
 
-    @staticmethod
-    def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Newton steps with a small ridge, none on the intercept."""
-        coef, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.3] * (x.shape[1] - 1)])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ coef)
-            coef = coef + step
-            if np.abs(step).max() < 1e-8:
-                break
-        return coef
-
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(-1, len(self.coef))
         return 1 / (1 + np.exp(-np.clip(x @ self.coef, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TOXIC_ROWS) -> ToxicityModel:
-    """Learn from the bounded labelled sample, gathered on the driver."""
-    found = through_table(labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows), "labelled-sample")
-    sample = within_bytes(found, TOXIC_BYTES).toPandas().sort_values("doc_id")
-    return ToxicityModel(sample["text"].tolist(), sample["label"].to_numpy(np.float64))
+def counted(own: DataFrame) -> DataFrame:
+    """Of the words (kind 0) and marks (kind 1) of labelled texts, the documents of label 1 and the others that have
+    them; marks of fewer than three of label 1 are left out, as mark_weight() leaves them."""
+    columns = ("kind", "key", "toxic", "other")
+
+    def batches_of(counts: Counts) -> Iterator[pa.RecordBatch]:
+        other, toxic = counts.marks
+        rows = [(0, w.encode(), 0, n) for w, n in counts.words.items()] + [(1, m, toxic[m], other[m]) for m in {*toxic, *other}]
+        for at in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 50_000], strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=columns)
+
+    def run(batches):
+        release()
+        counts = Counts()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.add(text, label)
+                if len(counts) > COUNTED:
+                    yield from batches_of(counts)
+                    counts = Counts()
+        yield from batches_of(counts)
+        batch = counts = None
+        trim()
+
+    each = own.select("text", "label").mapInArrow(run, "kind int, key binary, toxic long, other long")
+    return each.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("kind = 0 or toxic >= 3")
+
+
+def trigram_weights(counts: DataFrame) -> dict[str, int]:
+    """trigrams() of all counted words."""
+
+    def run(batch):
+        found = trigrams(zip((w.decode() for w in batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "weight"])
+
+    each = arrow_map(counts.where("kind = 0").select("key", "other"), run, "gram string, weight long")
+    return {r.gram: r.weight for r in each.groupBy("gram").agg(F.sum("weight").alias("weight")).collect()}
+
+
+def lexicon(counts: DataFrame, pos: int, neg: int) -> dict[bytes, float]:
+    """The marks that have a weight; only these are gathered."""
+
+    def run(batch):
+        keys, toxic, other = (batch.column(k).to_pylist() for k in range(3))
+        found = [(m, w) for m, n, k in zip(keys, toxic, other, strict=True) if (w := mark_weight(n, k, pos, neg))]
+        return pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.binary()), pa.array([w for _, w in found], pa.float64())], names=["mark", "weight"])
+
+    return {bytes(r.mark): r.weight for r in arrow_map(counts.where("kind = 1").select("key", "toxic", "other"), run, "mark binary, weight double").collect()}
+
+
+def logistic_layer(own: DataFrame, model: ToxicityModel) -> np.ndarray:
+    """Coefficients over the features of all labelled texts; equal features are one row of the table that each step reads."""
+    width = len(model.coef)
+    names = [f"x{k}" for k in range(width)]
+
+    def features(batch):
+        x = np.array([model.features(t) for t in batch.column(0).to_pylist()])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=[*names, "label"])
+
+    each = arrow_map(own.select("text", "label"), features, ", ".join(f"{x} double" for x in names) + ", label int")
+    cells = through_table(each.groupBy(*names).agg(F.sum("label").cast("double").alias("y"), F.count(F.lit(1)).cast("double").alias("n")), "toxicity-cells")
+    totals = [f"s{k}" for k in range(width + width * width)]
+
+    def sums(coef: np.ndarray) -> np.ndarray:
+        def run(batch):
+            x, y, n = np.column_stack([batch.column(k).to_numpy() for k in range(width)]), batch.column(width).to_numpy(), batch.column(width + 1).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array([s]) for s in step_sums(x, y, n, coef)], names=totals)
+
+        return np.array(arrow_map(cells, run, ", ".join(f"{s} double" for s in totals)).agg(*(F.sum(s) for s in totals)).first())
+
+    coef = logistic(sums, width)
+    drop_table(cells)
+    return coef
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learn from every labelled document outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
+    own = through_table(labelled(docs, labels, "toxic", FOLDS, HELD), "labelled")
+    counts = through_table(counted(own), "toxicity-counts")
+    rows, pos = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    model = ToxicityModel([], np.zeros(0))
+    model.learn(CharacterModel(Counter(), trigram_weights(counts)), lexicon(counts, pos, rows - pos), pos, rows - pos)
+    if 0 < pos < rows:
+        model.coef = logistic_layer(own, model)
+    drop_table(counts)
+    drop_table(own)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
