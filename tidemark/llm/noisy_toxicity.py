@@ -102,6 +102,7 @@ class Restorer:
         self.model, self.lexicon, self.bonus = model, lexicon, bonus
         self.prefixes = {w[:k] for w in lexicon for k in range(len(w) + 1)}
         self._known: dict[str, str] = {}
+        self._tokens: dict[str, str] = {}
 
     def _options(self, text: str, k: int) -> list[tuple[str | None, float]]:
         c = text[k]
@@ -163,6 +164,16 @@ class Restorer:
 
     def _token(self, match: re.Match) -> str:
         token = match[0]
+        out = self._tokens.get(token)
+        if out is None:
+            out = self._restored(token)
+            if len(token) <= 64:
+                if len(self._tokens) > 200_000:
+                    self._tokens.clear()
+                self._tokens[token] = out
+        return out
+
+    def _restored(self, token: str) -> str:
         core = token.strip(_EDGE)
         if not _LETTER.search(core):
             return token
@@ -257,14 +268,17 @@ class ToxicityModel:
     def learn(self, chars: CharacterModel, weights: dict[bytes, float], pos: int, neg: int) -> None:
         """What is known before the logistic layer; without it, the score is the smoothed share of label 1."""
         self.weights = dict(sorted(weights.items()))
+        self.heads = {m.rstrip(b"*")[:4] for m in weights}  # no other word has a weight
         self.restorer = Restorer(chars, {m.decode() for m in weights if not m.endswith(b"*")})
         self.coef = np.zeros(5)
         self.coef[0] = math.log((pos + 1) / (neg + 1))
 
     def features(self, text: str) -> list[float]:
         words, n = word_set(self.restorer.restore(text))
-        weights, found = self.weights, []
+        weights, heads, found = self.weights, self.heads, []
         for w in words:
+            if w[:4] not in heads:
+                continue
             best = weights.get(w, 0.0)
             if len(w) > 4:
                 best = max(best, weights.get(w[:4] + b"*", 0.0), weights.get(w[:5] + b"*", 0.0), weights.get(w[:6] + b"*", 0.0), weights.get(w[:7] + b"*", 0.0))
